@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of the operators' numbers.
-MODULES = ("chat", "packing")
+MODULES = ("mixing", "chat", "packing")
 
 
 def _modules():
