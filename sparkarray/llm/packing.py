@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from sparkarray.llm.common import col, table, written
 
 WINDOW, END_ID = 2048, 1
-#: Words a worker keeps with their ids; when full it starts anew.
-CACHE_WORDS, CACHE_LEN = 600_000, 48
+#: Words a worker keeps with their ids; when full it starts anew. Documents whose words are told apart at once.
+CACHE_WORDS, CACHE_LEN, AT_ONCE = 400_000, 48, 1000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _known: dict[str, tuple] = {}
 
@@ -37,42 +40,80 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _encoder(path: str):
-    """The tokenizer and a store of words with their ids (as little-endian unsigned 32-bit), kept while the worker lives."""
+    """The tokenizer, its bare model and a store of words with their ids, kept while the worker lives."""
     if path not in _known:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {"": b""})
+        tok = Tokenizer.from_file(path)
+        _known[path] = (tok, Tokenizer(tok.model), {})
     return _known[path]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text as bytes.
+def _fill(some: list[str], encode, store: dict[str, bytes], got: dict[str, bytes]) -> None:
+    for k in range(0, len(some), 10_000):
+        part = some[k : k + 10_000]
+        for w, e in zip(part, encode(part)):
+            got[w] = np.array(e.ids, "<u4").tobytes()
+    if len(store) + len(some) > CACHE_WORDS:
+        store.clear()
+    store.update((w, got[w]) for w in some[:CACHE_WORDS] if len(w) <= CACHE_LEN)
+
+
+def encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
+    """Ids, as little-endian unsigned 32-bit, of pieces without blanks.
+
+    A piece of letters with punctuation behind it is two: this kind of tokenizer parts letters from all else, lowers them,
+    and runs its merges over either alone. Letters go to the bare model; whatever is less plain to the whole tokenizer.
+    """
+    tok, bare, store = _encoder(path)
+    keys: list[tuple[str, str] | None] = []
+    letters, others = set(), set()
+    for w in pieces:
+        body = w.rstrip(PUNCTUATION)
+        if body.isalpha() and (body.isascii() or is_normalized("NFC", body) and "\u03a3" not in body and "\u0130" not in body):
+            low, tail = body.lower(), w[len(body) :]
+            keys.append((low, tail))
+            letters.add(low)
+            if tail:
+                others.add(tail)
+        else:
+            keys.append(None)
+            others.add(w)
+    got: dict[str, bytes] = {w: x for w in letters | others if (x := store.get(w)) is not None}
+    _fill([w for w in letters if w not in got], lambda ws: bare.encode_batch_fast([w.encode().decode("latin-1").translate(_LETTERS) for w in ws], add_special_tokens=False), store, got)
+    _fill([w for w in others if w not in got], lambda ws: tok.encode_batch_fast(ws, add_special_tokens=False), store, got)
+    return [got[w] if k is None else got[k[0]] + got[k[1]] if k[1] else got[k[0]] for w, k in zip(pieces, keys)]
+
+
+def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text as bytes (null: none).
 
     For a tokenizer that drops white space the ids of a text are those of its pieces between blanks, one after the other;
-    each distinct piece is encoded once.
+    each distinct piece of a batch is looked up or encoded once, and Arrow strings the ids together.
     """
-    tok, store = _encoder(path)
-    split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-    out = []
-    for at in range(0, len(split), 512):
-        part = split[at : at + 512]
-        new = list({w for words in part for w in words if w not in store})
-        if len(store) + len(new) > CACHE_WORDS:
-            store.clear()
-            store[""] = b""
-            new = list({w for words in part for w in words if w})
-        got = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            got.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
-        store.update((w, b) for w, b in got.items() if len(w) <= CACHE_LEN)
-        get = store.get
-        out += [b"".join([x if (x := get(w)) is not None else got[w] for w in words]) for words in part]
-    return out
+    for at in range(0, len(texts), AT_ONCE):
+        part = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, AT_ONCE), ""), "\n", " "), " ")
+        pieces = part.flatten().dictionary_encode()
+        ids = pa.array(encode_pieces(path, pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
+        ends = np.frombuffer(ids.buffers()[1], "i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "i8")
+        cuts = ends[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield bytes(data[lo:hi])
 
 
 ENCODED = "part int, start_in_part long, doc_id long, n int, ids binary"
@@ -83,12 +124,15 @@ def _encode(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids = [x + end for x in encode_texts(path, b.column(1).to_pylist())]
+        for some in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+            ids = [x + end for x in encode_texts(path, some.column(1))]
             n = np.array([len(x) // 4 for x in ids], "i8")
             start = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, "i4")), pa.array(start), b.column(0).cast(pa.int64()), pa.array(n.astype("i4")), pa.array(ids, pa.binary())], ["part", "start_in_part", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, "i4")), pa.array(start), some.column(0).cast(pa.int64()), pa.array(n.astype("i4")), pa.array(ids, pa.binary())],
+                ["part", "start_in_part", "doc_id", "n", "ids"],
+            )
 
     return run
 
