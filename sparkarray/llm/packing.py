@@ -28,7 +28,7 @@ from sparkarray.llm.common import col, table, written
 
 WINDOW, END_ID = 2048, 1
 #: Words a worker keeps with their ids; when full it starts anew. Documents whose words are told apart at once.
-CACHE_WORDS, CACHE_LEN, AT_ONCE = 400_000, 48, 1000
+CACHE_WORDS, CACHE_LEN, AT_ONCE = 500_000, 48, 2500
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _known: dict[str, tuple] = {}
@@ -80,9 +80,12 @@ def encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
     and runs its merges over either alone. Letters go to the bare model; whatever is less plain to the whole tokenizer.
     """
     tok, bare, store = _encoder(path)
+    out = list(map(store.get, pieces))
+    new = [i for i, x in enumerate(out) if x is None]
     keys: list[tuple[str, str] | None] = []
     letters, others = set(), set()
-    for w in pieces:
+    for i in new:
+        w = pieces[i]
         body = w.rstrip(PUNCTUATION)
         if body.isalpha() and (body.isascii() or is_normalized("NFC", body) and "\u03a3" not in body and "\u0130" not in body):
             low, tail = body.lower(), w[len(body) :]
@@ -96,7 +99,11 @@ def encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
     got: dict[str, bytes] = {w: x for w in letters | others if (x := store.get(w)) is not None}
     _fill([w for w in letters if w not in got], lambda ws: bare.encode_batch_fast([w.encode().decode("latin-1").translate(_LETTERS) for w in ws], add_special_tokens=False), store, got)
     _fill([w for w in others if w not in got], lambda ws: tok.encode_batch_fast(ws, add_special_tokens=False), store, got)
-    return [got[w] if k is None else got[k[0]] + got[k[1]] if k[1] else got[k[0]] for w, k in zip(pieces, keys)]
+    for i, k in zip(new, keys):
+        out[i] = x = got[pieces[i]] if k is None else got[k[0]] + got[k[1]] if k[1] else got[k[0]]
+        if len(pieces[i]) <= CACHE_LEN:
+            store[pieces[i]] = x
+    return out
 
 
 def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
