@@ -26,7 +26,7 @@ SHARE, STEPS, STARTS, LEAST = 0.75, 3, 3, 40
 #: Chi-square with 4 degrees of freedom at 0.999999, times the consistency factor of a 0.75 subset.
 CUTOFF = 33.4 * 1.486
 #: One unit of a statistic in fixed point, and the least standard deviations.
-UNIT, FLOOR = 1024, (0.03, 0.05, 0.10, 0.10)
+UNIT, FLOOR = 1024, (0.03, 0.05, 0.15, 0.15)
 BROADCAST_GROUPS = 50_000
 X = ("x1", "x2", "x3", "x4")
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
