@@ -114,10 +114,8 @@ def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
     n_entity = both.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted, _ = written(n_both.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(col("text"), F.lit(""))), SPACE))).alias("term"))
-    if wanted.count() <= BROADCAST_ROWS:
-        n_term = words.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    # Counted before the join: what the join sees is a row for each word, not for each of its occurrences.
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n = docs.agg(F.count("*").cast("double").alias("n"))
     joined = n_both.join(n_entity, "entity").join(n_term, "term").crossJoin(F.broadcast(n))
     pmi = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
