@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of the operators' numbers.
-MODULES = ("mixing", "lm", "quality", "minhash", "chat", "licenses", "pii", "packing", "embed_dedup")
+MODULES = ("mixing", "suffix_dedup", "lm", "quality", "minhash", "chat", "licenses", "pii", "packing", "embed_dedup")
 
 
 def _modules():
