@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large and small stars.
 
 Each round links every node to the least of its neighbours, first among the larger ones, then among the smaller ones; the
-rounds (of the order of the logarithm of the nodes) end when no link changes. Links stay spread over the cluster and each
+rounds (of the order of the logarithm of the nodes) end when all links are (member, root). Links stay spread over the cluster and each
 round is a written table, so a lost executor costs no earlier round. The least neighbour is a partial aggregate and the
 join back to a hub's links is a plain join whose large partitions Spark may split.
 """
@@ -19,8 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, path = written(edges, "links")
-    last = None
-    while True:
+    while not _is_forest_of_stars(edges):
         # Large star: the larger neighbours of a node go to its least neighbour (itself included).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,13 +30,16 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new, new_path = written(small, "links")
-        state = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         drop_table(spark, large_path)
         drop_table(spark, path)
         edges, path = new, new_path
-        if tuple(state) == last:
-            break
-        last = tuple(state)
     # Every link is now (member, root).
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one link and is no smaller end."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    bad = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
+    return not bad.limit(1).count()

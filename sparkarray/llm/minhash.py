@@ -146,7 +146,8 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.intersect1d(a, b).size if len(a) and len(b) else 0
+    """Of two sorted arrays of unit names."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) and len(b) else 0
     return both / max(len(a) + len(b) - both, 1)
 
 
@@ -177,12 +178,25 @@ def _compare(similarity: float):
             return x
 
         out_a, out_b = [], []
+        n = np.array([len(x) for x in units_])
         for i in a:
             mine = sig[i]
-            agree = ((sig[b] == mine) & (mine > 0)).sum(axis=1) / np.maximum(((sig[b] > 0) | (mine > 0)).sum(axis=1), 1)
-            for j in b[np.flatnonzero(agree >= similarity - SLACK)]:
+            alike = np.minimum(n[b], n[i]) >= similarity * np.maximum(n[b], n[i])
+            js = b[alike]
+            agree = ((sig[js] == mine) & (mine > 0)).sum(axis=1) / np.maximum(((sig[js] > 0) | (mine > 0)).sum(axis=1), 1)
+            js = js[agree >= similarity - SLACK]
+            here = find(parent[i])
+            js = np.array([j for j in js if find(parent[j]) != here], "i8")
+            if not len(js):
+                continue
+            # Exact similarities of this text to all that are left, at once.
+            flat = np.concatenate([units_[j] for j in js])
+            own = units_[i]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(n[js]) - n[js], dtype="i8")
+            for j in js[both >= similarity * (n[js] + n[i] - both)]:
                 x, y = find(parent[i]), find(parent[j])
-                if x != y and weighted_jaccard(units_[i], units_[j]) >= similarity:
+                if x != y:
                     root[max(x, y)] = min(x, y)
                     out_a.append(cls[i])
                     out_b.append(cls[j])
@@ -213,9 +227,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = members.filter("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     left, right = (sets.select(F.col("cls").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
     stars, _ = written(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(_verify(similarity), "a long, b long"), "minhash-links")
-    comps = components(stars)
-    # Buckets that the comparison with the least member has left apart.
-    labelled = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
+    # Members by the least that they are linked to, followed once: enough to tell most buckets whole.
+    low = stars.groupBy("b").agg(F.min("a").alias("a"))
+    low = low.join(low.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.col("b").alias("cls"), F.coalesce("up", "a").alias("root"))
+    labelled = members.join(low, "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
     labelled, _ = written(labelled, "minhash-apart")
     apart = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi and m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     rest = labelled.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
