@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,6 @@ from sparkarray.llm.common import col, table, written
 WINDOW, END_ID = 2048, 1
 #: Words a worker keeps with their ids; when full it starts anew. Documents whose words are told apart at once.
 CACHE_WORDS, CACHE_LEN, AT_ONCE = 500_000, 48, 2500
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _known: dict[str, tuple] = {}
 
@@ -63,51 +61,51 @@ def _encoder(path: str):
     return _known[path]
 
 
-def _fill(some: list[str], encode, store: dict[str, bytes], got: dict[str, bytes]) -> None:
-    for k in range(0, len(some), 10_000):
-        part = some[k : k + 10_000]
-        for w, e in zip(part, encode(part)):
-            got[w] = np.array(e.ids, "<u4").tobytes()
-    if len(store) + len(some) > CACHE_WORDS:
+#: Latin letters that neither compose nor lower in more than one way, and the punctuation that may follow them.
+PLAIN = "^(?P<body>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<tail>[!-/:-@\\[-`{-~]*)$"
+
+
+def _looked_up(words: pa.Array, encode, store: dict[str, bytes]) -> pa.Array:
+    """Ids of words, each distinct one looked up or encoded once."""
+    enc = words.dictionary_encode()
+    names = enc.dictionary.to_pylist()
+    got = list(map(store.get, names))
+    new = [i for i, x in enumerate(got) if x is None]
+    if len(store) + len(new) > CACHE_WORDS:
         store.clear()
-    store.update((w, got[w]) for w in some[:CACHE_WORDS] if len(w) <= CACHE_LEN)
+    for k in range(0, len(new), 10_000):
+        part = new[k : k + 10_000]
+        for i, e in zip(part, encode([names[i] for i in part])):
+            got[i] = np.array(e.ids, "<u4").tobytes()
+            if len(names[i]) <= CACHE_LEN:
+                store[names[i]] = got[i]
+    return pa.array(got, pa.large_binary()).take(enc.indices)
 
 
-def encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
+def encode_pieces(path: str, pieces: pa.Array) -> pa.Array:
     """Ids, as little-endian unsigned 32-bit, of pieces without blanks.
 
     A piece of letters with punctuation behind it is two: this kind of tokenizer parts letters from all else, lowers them,
     and runs its merges over either alone. Letters go to the bare model; whatever is less plain to the whole tokenizer.
     """
     tok, bare, store = _encoder(path)
-    out = list(map(store.get, pieces))
-    new = [i for i, x in enumerate(out) if x is None]
-    keys: list[tuple[str, str] | None] = []
-    letters, others = set(), set()
-    for i in new:
-        w = pieces[i]
-        body = w.rstrip(PUNCTUATION)
-        if body.isalpha() and (body.isascii() or is_normalized("NFC", body) and "\u03a3" not in body and "\u0130" not in body):
-            low, tail = body.lower(), w[len(body) :]
-            keys.append((low, tail))
-            letters.add(low)
-            if tail:
-                others.add(tail)
-        else:
-            keys.append(None)
-            others.add(w)
-    got: dict[str, bytes] = {w: x for w in letters | others if (x := store.get(w)) is not None}
-    _fill([w for w in letters if w not in got], lambda ws: bare.encode_batch_fast([w.encode().decode("latin-1").translate(_LETTERS) for w in ws], add_special_tokens=False), store, got)
-    _fill([w for w in others if w not in got], lambda ws: tok.encode_batch_fast(ws, add_special_tokens=False), store, got)
-    for i, k in zip(new, keys):
-        out[i] = x = got[pieces[i]] if k is None else got[k[0]] + got[k[1]] if k[1] else got[k[0]]
-        if len(pieces[i]) <= CACHE_LEN:
-            store[pieces[i]] = x
-    return out
-
-
-def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of each text as bytes (null: none).
+    match = pc.extract_regex(pieces, PLAIN)
+    plain = match.is_valid()
+    letters = lambda ws: bare.encode_batch_fast([w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in ws], add_special_tokens=False)
+    rest = lambda ws: tok.encode_batch_fast(ws, add_special_tokens=False)
+    match = match.filter(plain)
+    body = _looked_up(pc.utf8_lower(match.field("body")), letters, store)
+    tail = _looked_up(match.field("tail"), rest, store)
+    whole = _looked_up(pieces.filter(pc.invert(plain)), rest, store)
+    both = pa.concat_arrays([pc.binary_join_element_wise(body, tail, pa.scalar(b"", pa.large_binary())), whole])
+    at = np.empty(len(pieces), "i8")
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))])
+    at[order] = np.arange(len(order))
+    return both.take(pa.array(at))
+
+
+def encode_texts(path: str, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+    """Ids of each text as bytes (null: none), ``end`` behind.
 
     For a tokenizer that drops white space the ids of a text are those of its pieces between blanks, one after the other;
     each distinct piece of a batch is looked up or encoded once, and Arrow strings the ids together.
@@ -115,12 +113,12 @@ def encode_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
     for at in range(0, len(texts), AT_ONCE):
         part = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, AT_ONCE), ""), "\n", " "), " ")
         pieces = part.flatten().dictionary_encode()
-        ids = pa.array(encode_pieces(path, pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
-        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
+        ids = encode_pieces(path, pieces.dictionary).take(pieces.indices)
+        data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
         ends = np.frombuffer(ids.buffers()[1], "i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "i8")
         cuts = ends[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
         for lo, hi in zip(cuts, cuts[1:]):
-            yield bytes(data[lo:hi])
+            yield b"".join((data[lo:hi], end))
 
 
 ENCODED = "part int, start_in_part long, doc_id long, n int, ids binary"
@@ -132,7 +130,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for some in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
-            ids = [x + end for x in encode_texts(path, some.column(1))]
+            ids = list(encode_texts(path, some.column(1), end))
             n = np.array([len(x) // 4 for x in ids], "i8")
             start = at + np.cumsum(n) - n
             at += int(n.sum())
