@@ -35,8 +35,7 @@ from sparkarray.llm.common import col, table, written
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # strings of GRAM bytes in a window
 #: Bytes hashed at once; bytes of a merge; shards of a merge; distinct runs of a name that divide it; step of a division.
-CHUNK, MERGE_BYTES, SHARDS, MANY, STEP = 1_500_000, 3_000_000, 4, 4000, 16
-BROADCAST_BYTES = 48_000_000
+CHUNK, MERGE_BYTES, SHARDS, MANY, STEP = 1_500_000, 2_000_000, 4, 4000, 16
 
 _A = 0xD6E8FEB86659FD93
 u64 = np.uint64
@@ -168,14 +167,17 @@ def transform(text: np.ndarray, piece_end: np.ndarray) -> tuple[np.ndarray, np.n
     Suffixes end with their piece and are told apart up to LENGTH bytes; by doubling of ranks.
     """
     n = len(text)
-    rank = text.astype("i8") + 1
-    k = 1
     left = piece_end - np.arange(n)
-    order = np.argsort(rank, kind="stable")
+    # Seven bytes (zero beyond the end) and how many there are; then doubling.
+    rank = np.zeros(n, "i8")
+    for j in range(7):
+        rank[: n - j] |= np.where(left[: n - j] > j, text[j:], 0).astype("i8") << (8 * (6 - j) + 3)
+    rank |= np.minimum(left, 7)
+    k = 7
+    order = np.argsort(rank)
     while True:
         sorted_rank = rank[order]
         new = np.ones(n, "i8")
-        new[0] = 1
         new[1:] = sorted_rank[1:] != sorted_rank[:-1]
         dense = np.cumsum(new)
         rank = np.empty(n, "i8")
@@ -185,7 +187,7 @@ def transform(text: np.ndarray, piece_end: np.ndarray) -> tuple[np.ndarray, np.n
         later = np.zeros(n, "i8")
         later[: n - k] = np.where(left[: n - k] > k, rank[k:], 0)
         rank = rank * (n + 1) + later
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         k *= 2
     row = np.empty(n, "i8")
     row[order] = np.arange(n)
@@ -199,11 +201,16 @@ def transform(text: np.ndarray, piece_end: np.ndarray) -> tuple[np.ndarray, np.n
     return order, bwt, lf
 
 
-def merge_repeats(text: np.ndarray, piece_end: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts whose LENGTH bytes (within their piece) are shared, and the number of the interval each is in."""
+def merge_repeats(text: np.ndarray, piece_end: np.ndarray, starts: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the starts (each with LENGTH bytes in its piece) those whose string another one shares, and the number of the
+    interval each is in.
+
+    The refinement runs from the last symbols of the strings to the first, so at depth h the row of a start is that of the
+    suffix LENGTH - h further on, and only these rows take part.
+    """
     n = len(text)
     none = np.zeros(0, "i8"), np.zeros(0, "i8")
-    if n < LENGTH:
+    if not len(starts):
         return none
     # Cut at borders of pieces into shards of about one size.
     borders = np.unique(piece_end)
@@ -222,16 +229,12 @@ def merge_repeats(text: np.ndarray, piece_end: np.ndarray, shards: int = SHARDS)
     lf4 = one(lf2, lf2).astype("i4")
     near = bwt.astype("u2") + (np.where(lf >= 0, bwt[lf], 0).astype("u2") << 8)
     far = np.where(lf2 >= 0, bwt[lf2], 0).astype("u2") + (np.where(lf3 >= 0, bwt[lf3], 0).astype("u2") << 8)
-    # Interleave of depth 0: shard after shard. The empty suffix at a piece's end stands before all: its row is virtual.
+    # Interleave of depth 0: shard after shard; depth 4: the rows in order of the strings' last four symbols.
     row_of = np.empty(n, "i4")
     row_of[order] = np.arange(n)
-    size = piece_end - np.arange(n)
-    tails = np.flatnonzero(size == 4)
-    ends = row_of[tails]
-    rows = np.concatenate([np.flatnonzero(lf4 >= 0), np.zeros(0, "i8")]).astype("i4")
-    # Depth 4: rows reached from a suffix, and each piece's last four bytes, in order of these four symbols.
-    words = text[: n - 3].astype("u4") << 24 | text[1 : n - 2].astype("u4") << 16 | text[2 : n - 1].astype("u4") << 8 | text[3:].astype("u4")
-    now = np.concatenate([lf4[rows], ends])
+    now = row_of[starts + LENGTH - 4]
+    words = np.zeros(n, "u4")
+    words[: n - 3] = text[: n - 3].astype("u4") << 24 | text[1 : n - 2].astype("u4") << 16 | text[2 : n - 1].astype("u4") << 8 | text[3:].astype("u4")
     key = words[order[now]]
     o = np.argsort(key, kind="stable")
     now, key = now[o], key[o]
@@ -240,8 +243,6 @@ def merge_repeats(text: np.ndarray, piece_end: np.ndarray, shards: int = SHARDS)
     while depth < LENGTH and len(now):
         alone = np.bincount(block)[block] > 1
         now, block = now[alone], block[alone]
-        on = lf4[now] >= 0
-        now, block = now[on], block[on]
         if not len(now):
             break
         x = near[now]
@@ -253,9 +254,8 @@ def merge_repeats(text: np.ndarray, piece_end: np.ndarray, shards: int = SHARDS)
         now = lf4[now[o]]
         block = np.cumsum(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (block[1:] != block[:-1])])) - 1
         depth += 4
-    if not len(now):
-        return none
-    return order[now], block
+    alone = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
+    return order[now[alone]], block[alone]
 
 
 PIECES = "part int, v long, t long, base int, m int, piece binary"
@@ -297,14 +297,12 @@ def _merge(t: pa.Table) -> pa.Table:
     base, m = t["base"].to_numpy().astype("i8"), t["m"].to_numpy().astype("i8")
     n = np.array([len(x) for x in pieces], "i8")
     ends = np.cumsum(n)
-    at, block = merge_repeats(np.frombuffer(b"".join(pieces), "u1"), np.repeat(ends, n))
-    which = np.searchsorted(ends, at, side="right")
-    off = at - (ends - n)[which]
     # Only windows of a run are places of their own; what follows them belongs to other runs.
-    own = off < m[which]
-    block, which, off = block[own], which[own], off[own]
-    twice = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
-    which, off = which[twice], off[twice]
+    begin = ends - n
+    starts = np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    at, _ = merge_repeats(np.frombuffer(b"".join(pieces), "u1"), np.repeat(ends, n), starts)
+    which = np.searchsorted(ends, at, side="right")
+    off = at - begin[which]
     o = np.lexsort((off, which))
     which, off = which[o], off[o]
     first = np.ones(len(off), bool)
@@ -349,10 +347,8 @@ def removed(docs: DataFrame) -> DataFrame:
     many = distinct.groupBy("v").agg(F.count("*").alias("k")).filter(F.col("k") > MANY).select("v", F.lit(True).alias("many"))
     wanted = distinct.join(many, "v", "left").groupBy("one.rid").agg(F.collect_list(F.struct("one.i", "v", "t", F.coalesce("many", F.lit(False)).alias("many"))).alias("wanted"))
     wanted, _ = written(wanted, "suffix-wanted")
-    n_distinct = distinct.count()
-    n_parts = max(1, -(-n_distinct * (LENGTH + 90) // MERGE_BYTES))
-    small = 40 * n_distinct <= BROADCAST_BYTES
-    pieces = texts.select("rid", "text", "p", "m").join(F.broadcast(wanted) if small else wanted, "rid").select("text", "p", "m", "wanted").mapInArrow(_cut(n_parts), PIECES)
+    n_parts = max(1, -(-distinct.count() * (LENGTH + 90) // MERGE_BYTES))
+    pieces = texts.select("rid", "text", "p", "m").join(wanted, "rid").select("text", "p", "m", "wanted").mapInArrow(_cut(n_parts), PIECES)
     merged, _ = written(pieces.groupBy("part").applyInArrow(_merge, "v long, t long, lo int, hi int"), "suffix-merged")
     none = F.lit(None).cast("int")
     full = found.filter("not mixed").select("rid", "i", none.alias("lo"), none.alias("hi"))
@@ -360,11 +356,9 @@ def removed(docs: DataFrame) -> DataFrame:
     part = distinct.filter("n = 1").join(merged, ["v", "t"]).select("one.rid", "one.i", "lo", "hi")
     hits = full.unionByName(twice).unionByName(part).groupBy("rid").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("hits"))
     hits, _ = written(hits, "suffix-hits")
-    n_hits = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    few = 24 * n_hits <= BROADCAST_BYTES
-    with_hits = texts.join(F.broadcast(hits) if few else hits, "rid").select("doc_id", "text", "n_bytes", "p", "m", "hits").mapInArrow(_remove, REMOVED)
+    with_hits = texts.join(hits, "rid").select("doc_id", "text", "n_bytes", "p", "m", "hits").mapInArrow(_remove, REMOVED)
     ids = hits.select("rid")
-    rest = texts.select("rid", "doc_id", "n_bytes", "sha").join(F.broadcast(ids) if few else ids, "rid", "left_anti")
+    rest = texts.select("rid", "doc_id", "n_bytes", "sha").join(ids, "rid", "left_anti")
     zero = F.lit(0).cast("long")
     return with_hits.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256")))
 
