@@ -32,21 +32,23 @@ LOOKUP, HEAD, CLASSES, KINDS = 262_144, 16_384, 32, 64
 #: Rows of the hashed tables: word before, skip, both.
 ROWS = (2048, 2048, 8192)
 ROUNDS, BATCH_TOKENS, PRIOR, RATE = 2, 100_000, 3.0, 0.4
-FLUSH, AT_ONCE = 400_000, 1000
+FLUSH, AT_ONCE = 400_000, 3000
+#: Weights stay this small, so that sums of exponentials need no shift.
+MOST = 12.0
 FOLDS, HELD_OUT = 5, 1
 
 END = 0  # the end token's id; words are 1.. in order of count
 SUFFIXES = 64  # ids that stand for words out of the lookup, by a hash of their last bytes
 
 
-def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a batch, index of each word, and the number of words of each text."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = words.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))[full.to_numpy(zero_copy_only=False).astype(bool)] if len(flat) else np.zeros(0, "i8")
     enc = flat.filter(full).dictionary_encode()
-    return enc.dictionary.to_pylist(), enc.indices.to_numpy(), np.bincount(doc, minlength=len(texts))
+    return enc.dictionary, enc.indices.to_numpy(), np.bincount(doc, minlength=len(texts))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
         words, index, _ = tokens(b.column(0))
-        for w, c in zip(words, np.bincount(index, minlength=len(words)).tolist()):
+        for w, c in zip(words.to_pylist(), np.bincount(index, minlength=len(words)).tolist()):
             seen[w] = seen.get(w, 0) + c
         if len(seen) > FLUSH:
             yield out()
@@ -65,8 +67,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _suffix(words: list[str]) -> np.ndarray:
-    return np.array([sum(w.encode()[-2:]) % SUFFIXES for w in words], "i8")
+def _suffix(words: pa.Array) -> np.ndarray:
+    """A hash of each word's last two bytes."""
+    if not len(words):
+        return np.zeros(0, "i8")
+    data, off = np.frombuffer(words.buffers()[2], "u1"), np.frombuffer(words.buffers()[1], "i4", len(words) + 1, words.offset * 4)
+    last, before = data[off[1:] - 1].astype("i8"), data[np.maximum(off[1:] - 2, off[:-1])]
+    return (last * 31 + before) % SUFFIXES
 
 
 class Vocabulary:
@@ -76,11 +83,11 @@ class Vocabulary:
         self.ids = {w: k + 1 for k, w in enumerate(words)}
         self.counts = counts
 
-    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Token ids of all texts, each followed by its end; text of each token; words out of the lookup as negative ids -1 - k into the words returned."""
         words, index, n = tokens(texts)
         get = self.ids.get
-        ids = np.fromiter((get(w, -1 - k) for k, w in enumerate(words)), "i8", len(words))
+        ids = np.fromiter((get(w, -1 - k) for k, w in enumerate(words.to_pylist())), "i8", len(words))
         out = np.zeros(len(index) + len(n), "i8")
         at = np.ones(len(out), bool)
         ends = np.cumsum(n + 1) - 1
@@ -89,16 +96,12 @@ class Vocabulary:
         return out, np.repeat(np.arange(len(n)), n + 1), words, ends
 
 
-def history(ids: np.ndarray, doc: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def history(ids: np.ndarray, doc: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token the ids of the two before it (0 before a text's first), and the kind of the first of these."""
     plain = np.where(ids >= 0, ids, 0)
     low = np.flatnonzero(ids < 0)
     if len(low):
-        which = -1 - ids[low]
-        used = np.unique(which)
-        suffix = np.zeros(len(words), "i8")
-        suffix[used] = _suffix([words[k] for k in used])
-        plain[low] = LOOKUP + 1 + suffix[which]
+        plain[low] = LOOKUP + 1 + _suffix(words)[-1 - ids[low]]
     one, two = np.zeros_like(plain), np.zeros_like(plain)
     one[1:] = np.where(doc[1:] == doc[:-1], plain[:-1], 0)
     two[2:] = np.where(doc[2:] == doc[:-2], plain[:-2], 0)
@@ -174,10 +177,12 @@ def within(m: np.ndarray, cls: np.ndarray, counts: np.ndarray, rounds: int = 30)
 
 
 def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]] + w[rows[:, 1]] + w[rows[:, 2]] + bias
-    z -= z.max(axis=1, keepdims=True)
+    z = w[rows[:, 0]]
+    z += w[rows[:, 1]]
+    z += w[rows[:, 2]]
+    z += bias
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -195,14 +200,14 @@ def _train(vocabulary, cls: np.ndarray, state):
             p = softmax(w, bias, rows)
             for f in range(3):
                 r = rows[:, f]
-                order = np.argsort(r, kind="stable")
+                order = np.argsort((r - sum(ROWS[:f])).astype("u2"), kind="stable")
                 r = r[order]
                 starts = np.flatnonzero(np.diff(r, prepend=-1))
                 here = r[starts]
                 expected = np.add.reduceat(p[order], starts, axis=0)
                 back = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
                 observed = np.bincount(back * CLASSES + y[order], minlength=len(starts) * CLASSES).reshape(-1, CLASSES)
-                w[here] += RATE * np.clip((observed - expected) / (expected + PRIOR), -1, 2)
+                w[here] = np.clip(w[here] + RATE * np.clip((observed - expected) / (expected + PRIOR), -1, 2), -MOST, MOST)
                 n_row[here] += np.diff(np.append(starts, len(r)))
 
         for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
@@ -267,7 +272,7 @@ def _score(vocabulary, cls: np.ndarray, model, totals: dict):
             pair, c = np.unique(doc[low] * (len(words) + 1) + (-1 - ids[low]), return_counts=True)
             d, k = pair // (len(words) + 1), pair % (len(words) + 1)
             cuts = np.searchsorted(d, np.arange(n + 1)).astype("i4")
-            names = pa.array(words, pa.string()).take(pa.array(k)) if len(words) else pa.array([], pa.string())
+            names = words.take(pa.array(k))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).cast(pa.int64()), b.column(1), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, seen & known[at], n).astype("i8")),
