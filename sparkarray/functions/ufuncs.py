@@ -97,6 +97,12 @@ def signbit(x) -> Column:
     return F.when(x == 0, F.startswith(x.cast("string"), F.lit("-"))).otherwise(x < 0)
 
 
+def arctan2(a, b) -> Column:
+    """The sign of zeros counts."""
+    flat = F.when(signbit(b), 3.141592653589793).otherwise(0.0)
+    return F.when((d(a) == 0) & ~F.isnan(d(b)), F.when(signbit(a), -flat).otherwise(flat)).otherwise(F.atan2(d(a), d(b)))
+
+
 def copysign(a, b) -> Column:
     return F.when(signbit(b), -F.abs(d(a))).otherwise(F.abs(d(a)))
 
@@ -211,7 +217,7 @@ UNARY: dict[str, Callable] = {
 BINARY: dict[str, Callable] = {
     "add": lambda a, b: lit(a) + lit(b), "subtract": lambda a, b: lit(a) - lit(b), "multiply": lambda a, b: lit(a) * lit(b), "true_divide": true_divide,
     "floor_divide": floor_divide, "remainder": remainder, "fmod": fmod, "power": power, "float_power": power,
-    "logaddexp": logaddexp, "logaddexp2": logaddexp2, "gcd": gcd, "lcm": lcm, "arctan2": lambda a, b: F.atan2(d(a), d(b)), "hypot": lambda a, b: F.hypot(d(a), d(b)),
+    "logaddexp": logaddexp, "logaddexp2": logaddexp2, "gcd": gcd, "lcm": lcm, "arctan2": arctan2, "hypot": lambda a, b: F.hypot(d(a), d(b)),
     "greater": compare(lambda a, b: a > b), "greater_equal": compare(lambda a, b: a >= b), "less": compare(lambda a, b: a < b), "less_equal": compare(lambda a, b: a <= b),
     "equal": compare(lambda a, b: a == b), "not_equal": compare(lambda a, b: a != b, True),
     "logical_and": lambda a, b: truth(a) & truth(b), "logical_or": lambda a, b: truth(a) | truth(b), "logical_xor": lambda a, b: truth(a) != truth(b),

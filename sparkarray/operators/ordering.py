@@ -121,10 +121,10 @@ def _virtual(method: str, q: Column, n: Column) -> tuple[Column, Column]:
         return F.rint(last).cast("long"), F.lit(0.0)
     if method == "midpoint":
         return F.floor(last), F.when(last > F.floor(last), 0.5).otherwise(0.0)
-    if method == "closest_observation":  # the even one of two equally near
+    if method == "closest_observation":  # of two equally near the one with an even rank, from 1
         at0 = q * n - 1.5
         low = F.floor(at0)
-        return F.greatest(F.when((at0 == low) & (F.pmod(low, F.lit(2)) == 0), low).otherwise(low + 1), F.lit(0)), F.lit(0.0)
+        return F.greatest(F.when((at0 == low) & (F.pmod(low, F.lit(2)) == 1), low).otherwise(low + 1), F.lit(0)), F.lit(0.0)
     raise ValueError(method)
 
 
