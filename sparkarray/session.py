@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` by way of a checkpoint in the folder the session names (one of our own where none is set, local masters only)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and not sc.master.startswith("local["):
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.match(r"local($|\[)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
