@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -23,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share; one of our own where none is set and Spark is local."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _unset_dir:
         _unset_dir.append(tempfile.mkdtemp(prefix="tables-"))

@@ -34,9 +34,9 @@ PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 FEW = 16
 
 
-def counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """The base counts of every text. Windows are compared by 64-bit hashes of their three words."""
-    t = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_t"))
+def counts(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` and the base counts of every text. Windows are compared by 64-bit hashes of their three words."""
+    t = docs.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(text, F.lit("")).alias("_t"))
     t = t.withColumn("_w", ascii_words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)))
     t = t.withColumn("_h", F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
     t = t.withColumn("_s", F.sort_array("_h"))
@@ -47,7 +47,7 @@ def counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     t = t.withColumn("_r", F.when(F.size("_d") == 0, F.array().cast("array<int>")).when(F.size("_d") <= FEW, few).otherwise(many))
     covered = F.aggregate(F.transform("_r", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_r", i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     t = t.select(
-        *cols(c.name for c in t.schema if not c.name.startswith("_") or c.name in docs.columns),
+        *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -175,7 +175,7 @@ def _verdict(counted: DataFrame, params: DataFrame, n_groups: int) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    key = [col("doc_id").alias("doc_id"), F.coalesce(col("lang"), F.lit("")).alias("lang"), F.coalesce(col("source"), F.lit("")).alias("source")]
+    key = {"doc_id": col("doc_id"), "lang": F.coalesce(col("lang"), F.lit("")), "source": F.coalesce(col("source"), F.lit(""))}
     got = counts(docs, col("text"), key)
     return written(got.withColumn("seed", F.coalesce("doc_id", F.lit(0)).cast("long")), "quality-counts")[0]
 
@@ -192,13 +192,13 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns: verdicts are a function of a text, its language and its source."""
     names = free_name(docs, "q_text_key", "q_lang", "q_source")
-    key = [F.md5(F.coalesce(col("text"), F.lit(""))).alias("text_key"), F.coalesce(col("lang"), F.lit("")).alias("lang"), F.coalesce(col("source"), F.lit("")).alias("source")]
+    key = {"text_key": F.md5(F.coalesce(col("text"), F.lit(""))), "lang": F.coalesce(col("lang"), F.lit("")), "source": F.coalesce(col("source"), F.lit(""))}
     counted = counts(docs, col("text"), key).withColumn("seed", F.conv(F.substring("text_key", 1, 15), 16, 10).cast("long"))
     counted, _ = written(counted, "quality-counts")
     good = _verdict(counted, *fit(_stats(counted))).filter("not kept").select("text_key", "lang", "source").distinct()
     bad, _ = written(good, "quality-rejected")
     renamed = bad.select(*[F.col(c).alias(n) for c, n in zip(bad.columns, names)])
-    here = [k.alias(n) for k, n in zip([F.md5(F.coalesce(col("text"), F.lit(""))), F.coalesce(col("lang"), F.lit("")), F.coalesce(col("source"), F.lit(""))], names)]
+    here = [k.alias(n) for k, n in zip(key.values(), names)]
     return docs.select(*cols(docs.columns), *here).join(renamed, names, "left_anti").select(*cols(docs.columns))
 
 
