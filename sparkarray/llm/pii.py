@@ -19,16 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkarray.llm.common import SPACE, WORD, col, cols, free_name, table, written
+from sparkarray.llm.common import SPACE, WORD, col, cols, table, written
 
-#: Possessive where that can't change a match: no backtracking, no recursion on long runs.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
+#: Possessive where that can't change a match: no backtracking, no recursion on long runs. A match that can't begin at a
+#: run's start can't begin within the run, so only starts (or ends of a match before) are tried; a card has 16 digits at least.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"(?:(?<![0-9])|\G)(?=(?:[0-9][\x20-]?){15}[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct texts that hold an entity, and a term, at least; the share of an entity's information; words on either side.
 SUPPORT, DISCLOSURE, NEAR = 3, 0.9, 3
+#: Of the text on either side of an entity so many characters are looked at.
+NEAR_CHARS = 200
 #: The share of documents above which a disclosing term is generalised, not removed.
 COMMON = 0.001
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -81,8 +84,8 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
 def near_terms(text: Column, spans: Column) -> Column:
     """Words within ``NEAR`` words of a span: array of (entity, term, start, end)."""
     def of(s: Column) -> Column:
-        left = F.regexp_extract(F.substring(text, F.greatest(s["start"] - 200, F.lit(0)) + 1, F.least(s["start"], F.lit(200))), rf"((?:{WORD}{SPACE}){{0,{NEAR}}})$", 1)
-        after = F.substring(text, s["end"] + 1, F.lit(200))
+        left = F.regexp_extract(F.substring(text, F.greatest(s["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR_CHARS))), rf"((?:{WORD}{SPACE}){{0,{NEAR}}})$", 1)
+        after = F.substring(text, s["end"] + 1, F.lit(NEAR_CHARS))
         lead = F.regexp_extract(after, rf"^([^\x20\x09-\x0D]*{SPACE})", 1)
         right = F.regexp_extract(after, rf"^[^\x20\x09-\x0D]*{SPACE}((?:{WORD}(?:{SPACE}|$)){{0,{NEAR}}})", 1)
         return F.concat(_cut(left, s["start"] - F.length(left), s), _cut(right, s["end"] + F.length(lead), s))
@@ -160,12 +163,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every base span replaced by its kind, disclosing terms generalised or removed; all else stays."""
     rows = scanned(docs, [])
     added = added_spans(docs, rows)
-    text, key, base = free_name(docs, "pii_text", "key", "base")
-    t = docs.select(*cols(docs.columns), F.coalesce(col("text"), F.lit("")).alias(text))
-    t = base_spans(t, text).withColumnRenamed("base", base) if base != "base" else base_spans(t, text)
-    t = t.withColumn(key, F.when(F.size(base) > 0, F.md5(text)))
-    t = with_added(t.withColumnRenamed(key, "key") if key != "key" else t, added)
-    spans = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), F.transform(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+    # The documents' own columns stand in a struct, out of the way of the names used here.
+    t = docs.select(F.struct(*cols(docs.columns)).alias("own"), F.coalesce(col("text"), F.lit("")).alias("text"))
+    t = base_spans(t, "text").withColumn("key", F.when(F.size("base") > 0, F.md5("text")))
+    t = with_added(t, added)
+    spans = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))), F.transform(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda k: F.when(k == "term", "").when(k == "general", "[WORD]").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
     walk = F.aggregate(
@@ -173,12 +175,12 @@ def redact(docs: DataFrame) -> DataFrame:
         zero,
         lambda a, x: F.struct(
             F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), mark(x["kind"]))).otherwise(a["out"]).alias("out"),
+            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, x["start"] - a["at"]), mark(x["kind"]))).otherwise(a["out"]).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+        lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
     )
-    new = F.when(F.size(base) > 0, walk).otherwise(col("text"))
-    return t.select(*[new.alias(c) if c == "text" else col(c) for c in docs.columns])
+    new = F.when(F.size("base") > 0, walk).otherwise(F.col("own")["text"])
+    return t.select(*[(new if c == "text" else F.col("own")[c]).alias(c) for c in docs.columns])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
