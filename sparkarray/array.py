@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkarray.functions import complexes as C
 from sparkarray.functions import ufuncs as U
 from sparkarray.session import cut
 
@@ -67,9 +68,59 @@ class SparkArray:
     def T(self) -> SparkArray:  # noqa: N802
         return self.transpose()
 
+    @property
+    def mT(self) -> SparkArray:  # noqa: N802
+        return self.transpose([*range(self.ndim - 2), self.ndim - 1, self.ndim - 2])
+
+    @property
+    def flat(self) -> SparkArray:
+        return self.ravel()
+
+    @property
+    def itemsize(self) -> int:
+        return {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4}.get(self.dtype, 16 if self.is_complex else 8)
+
+    @property
+    def nbytes(self) -> int:
+        return self.itemsize * self.size
+
+    @property
+    def strides(self) -> tuple[int, ...]:
+        return tuple(s * self.itemsize for s in strides(self.shape))
+
+    #: Cells live in a DataFrame: there is no owner, buffer, device or writable flag to speak of.
+    base = device = None
+
+    def to_device(self, device=None, *, stream=None) -> SparkArray:
+        if device is not None:
+            raise ValueError("arrays have no device")
+        return self
+
+    def view(self, kind: str | None = None) -> SparkArray:
+        if kind not in (None, self.dtype):
+            raise NotImplementedError("cells can't be read as another type; use astype")
+        return self
+
+    def fill(self, value) -> SparkArray:
+        """A new array; arrays don't change."""
+        return self.map(lambda v: F.lit(value).cast(self.dtype))
+
+    def dumps(self) -> bytes:
+        import io
+
+        out = io.BytesIO()
+        np.save(out, self.to_numpy(), allow_pickle=False)
+        return out.getvalue()
+
+    def stencil_hint(self, *_) -> None:
+        """Nothing to fetch ahead of time: the planner sees the joins."""
+
     @classmethod
     def from_numpy(cls, spark: SparkSession, a) -> SparkArray:
         a = np.asarray(a)
+        if a.dtype.kind == "c":
+            both = cls.from_numpy(spark, a.real.astype("f8")), cls.from_numpy(spark, a.imag.astype("f8"))
+            return both[0].binary(both[1], lambda re, im: C.cell((re, im)))
         import pandas as pd
 
         grid = np.indices(a.shape).reshape(a.ndim, -1) if a.ndim else np.zeros((0, 1), "i8")
@@ -88,6 +139,8 @@ class SparkArray:
         return cls(rows.select(F.col("id").alias("i0"), "v"), (df.count(),))
 
     def to_numpy(self) -> np.ndarray:
+        if self.is_complex:
+            return self.ufunc("real").to_numpy() + 1j * self.ufunc("imag").to_numpy()
         pdf = self.df.toPandas()
         out = np.empty(self.shape, dtype=pdf["v"].to_numpy().dtype)
         out[tuple(pdf[a].to_numpy() for a in self.axes)] = pdf["v"].to_numpy()
@@ -110,6 +163,11 @@ class SparkArray:
         return SparkArray(self.df.withColumn("v", f(F.col("v"))), self.shape)
 
     def astype(self, kind: str) -> SparkArray:
+        """To a Spark type's name; ``complex`` is (re, im)."""
+        if kind == "complex":
+            return self if self.is_complex else self.map(lambda v: C.cell(C.parts(v, False)))
+        if self.is_complex:
+            return self.ufunc("real").astype(kind)
         return self.map(lambda v: (U.trunc(v) if kind in ("int", "long", "short", "byte") and self.dtype in ("double", "float") else v).cast(kind))
 
     def broadcast_to(self, shape: Sequence[int]) -> SparkArray:
@@ -145,14 +203,26 @@ class SparkArray:
         df = df.select(*[F.col(f"i{k}") if k in have else F.lit(0).cast("long").alias(f"i{k}") for k in range(n)], f(F.col("a"), F.col("b")).alias("v"))
         return SparkArray(df, shape)
 
+    @property
+    def is_complex(self) -> bool:
+        return self.dtype.startswith("struct<re:")
+
     def ufunc(self, name: str, *others):
+        name = U.ALIASES.get(name, name)
+        other = others[0] if others else None
+        if self.is_complex or isinstance(other, complex) or (isinstance(other, SparkArray) and other.is_complex):
+            mine = lambda v: C.parts(v, self.is_complex)
+            if not others:
+                return self.map(lambda v: C.UNARY[name](mine(v)))
+            theirs = lambda v: C.parts(v, isinstance(other, SparkArray) and other.is_complex)
+            return self.binary(other, lambda a, b: C.BINARY[name](mine(a), theirs(b)))
         f = U.ufunc(name)
         if not others:
             got = f(F.col("v"))
             if isinstance(got, tuple):
                 return tuple(SparkArray(self.df.withColumn("v", g), self.shape) for g in got)
             return SparkArray(self.df.withColumn("v", got), self.shape)
-        return self.binary(others[0], f)
+        return self.binary(other, f)
 
     def __getattr__(self, name: str):
         table = {**U.UNARY, **U.BINARY, **U.MULTI, **U.ALIASES}
@@ -212,8 +282,15 @@ class SparkArray:
 
 
 def _operator(name: str, swap: bool = False):
-    f = U.ufunc(name)
-    return lambda self, other: self.binary(other, (lambda a, b: f(b, a)) if swap else f)
+    def run(self, other):
+        if self.is_complex or isinstance(other, complex) or (isinstance(other, SparkArray) and other.is_complex):
+            if not swap:
+                return self.ufunc(name, other)
+            return self.binary(other, lambda a, b: C.BINARY[name](C.parts(b, False), C.parts(a, self.is_complex)))
+        f = U.ufunc(name)
+        return self.binary(other, (lambda a, b: f(b, a)) if swap else f)
+
+    return run
 
 
 for _dunder, _name in {"add": "add", "sub": "subtract", "mul": "multiply", "truediv": "true_divide", "floordiv": "floor_divide", "mod": "remainder", "pow": "power", "and": "bitwise_and", "or": "bitwise_or", "xor": "bitwise_xor", "lshift": "left_shift", "rshift": "right_shift"}.items():

@@ -180,6 +180,12 @@ def ldexp(m, e) -> Column:
     return d(m) * F.pow(F.lit(2.0), d(e))
 
 
+def nextafter(a, b) -> Column:
+    """The next double after a towards b, by the virtual machine's own method."""
+    got = F.reflect(F.lit("java.lang.Math"), F.lit("nextAfter"), d(a), d(b)).cast("double")
+    return F.when(_nan(d(a), d(b)), NAN).otherwise(got)
+
+
 def shift_left(a, b) -> Column:
     a, b = lit(a).cast("long"), lit(b).cast("int")
     return F.when(b >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", a, b))
@@ -223,7 +229,7 @@ BINARY: dict[str, Callable] = {
     "logical_and": lambda a, b: truth(a) & truth(b), "logical_or": lambda a, b: truth(a) | truth(b), "logical_xor": lambda a, b: truth(a) != truth(b),
     "maximum": extreme(F.greatest), "minimum": extreme(F.least), "fmax": lambda a, b: F.nanvl(extreme(F.greatest)(a, b), F.nanvl(d(a), d(b))), "fmin": lambda a, b: F.nanvl(extreme(F.least)(a, b), F.nanvl(d(a), d(b))),
     "copysign": copysign, "ldexp": ldexp, "bitwise_and": lambda a, b: lit(a).bitwiseAND(lit(b)), "bitwise_or": lambda a, b: lit(a).bitwiseOR(lit(b)), "bitwise_xor": lambda a, b: lit(a).bitwiseXOR(lit(b)),
-    "left_shift": shift_left, "right_shift": shift_right,
+    "left_shift": shift_left, "right_shift": shift_right, "nextafter": nextafter,
 }
 MULTI: dict[str, Callable] = {"modf": modf, "frexp": frexp}
 ALIASES = {"divide": "true_divide", "mod": "remainder", "abs": "absolute", "conj": "conjugate", "degrees": "rad2deg", "radians": "deg2rad", "bitwise_not": "invert", "acos": "arccos", "asin": "arcsin", "atan": "arctan", "atan2": "arctan2", "acosh": "arccosh", "asinh": "arcsinh", "atanh": "arctanh", "pow": "power", "concat": "concatenate"}

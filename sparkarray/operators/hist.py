@@ -41,8 +41,17 @@ def edges_of(x: SparkArray, bins, range_=None) -> list[float]:
 
 
 def bin_of(v: Column, edges: Sequence[float]) -> Column:
-    """Half-open bins, the last closed; null outside. Exact at the edges: compared with them, not computed."""
+    """Half-open bins, the last closed; null outside. Exact at the edges: compared with them, not computed.
+
+    Where the edges are evenly spaced, a quotient names a bin and its edges correct that: no loop for each cell.
+    """
     inside = ~F.isnan(v.cast("double")) & (v >= edges[0]) & (v <= edges[-1])
+    lo, n = edges[0], len(edges) - 1
+    step = (edges[-1] - lo) / n
+    if step > 0 and edges == [*(lo + k * step for k in range(n)), edges[-1]]:
+        edge = lambda k: F.lit(lo) + k * F.lit(step)
+        at = F.least(F.floor((v.cast("double") - lo) / step), F.lit(n - 1))
+        return F.when(inside, F.when((at > 0) & (v < edge(at)), at - 1).when((at < n - 1) & (v >= edge(at + 1)), at + 1).otherwise(at))
     at = F.size(F.filter(F.array(*[F.lit(e) for e in edges[:-1]]), lambda e: e <= v)) - 1
     return F.when(inside, at.cast("long"))
 

@@ -3,10 +3,11 @@
 The kernels work on whole matrices of at most ``KERNEL_CELLS`` cells, checked by shape; stacks of matrices are one group each.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkarray.array import SparkArray, norm_axis
@@ -213,31 +214,36 @@ def matrix_rank(a, tol=1e-10):
 
 
 def tiled_matmul(a, b, block: int = 512):
-    """Block tiles: cells are packed into tiles, tiles join on the shared block index, partial tiles are summed by cell."""
-    def tiles(x, names):
-        return x.df.select(F.expr(f"i0 div {block}").alias(names[0]), F.expr(f"i1 div {block}").alias(names[1]), (F.col("i0") % block).cast("int").alias("r"), (F.col("i1") % block).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-
-    pack = lambda df, keys, name: df.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "v")).alias(name))
-    left, right = pack(tiles(a, ("bi", "bk")), ("bi", "bk"), "x"), pack(tiles(b, ("bk", "bj")), ("bk", "bj"), "y")
-
-    def run(batches):
-        for pdf in batches:
-            for bi, bj, x, y in zip(pdf["bi"], pdf["bj"], pdf["x"], pdf["y"]):
-                m = []
-                for t in (x, y):
-                    d = np.zeros((block, block))
-                    d[[e["r"] for e in t], [e["c"] for e in t]] = [e["v"] for e in t]
-                    m.append(d)
-                p = m[0] @ m[1]
-                r, c = np.nonzero(p)
-                yield pd.DataFrame({"i0": bi * block + r, "i1": bj * block + c, "v": p[r, c]})
-
-    parts = left.join(right, "bk").select("bi", "bj", "x", "y").mapInPandas(run, "i0 long, i1 long, v double")
-    summed = parts.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
-    from sparkarray.operators.creation import grid
-
-    shape = (a.shape[0], b.shape[1])
-    return SparkArray(grid(a.spark, shape).join(summed, ["i0", "i1"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), shape)
+    """Block tiles: cells are packed into tiles by two aggregates, tiles join on the shared block index, each product of
+    tiles is one kernel call and leaves rows of a tile, which are summed element by element.
+    """
+    n, m = a.shape[0], b.shape[1]
+
+    def tiles(x, i, j, name):
+        df = x.df.select(F.expr(f"i0 div {block}").cast("int").alias(i), F.expr(f"i1 div {block}").cast("int").alias(j), ((F.col("i0") % block) * block + F.col("i1") % block).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
+        return df.groupBy(i, j).agg(F.collect_list(F.struct("at", "v")).alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bi, bj = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                sides = []
+                for c in (2, 3):
+                    cells = batch.column(c)[r].values
+                    d = np.zeros(block * block)
+                    d[cells.field(0).to_numpy()] = cells.field(1).to_numpy()
+                    sides.append(d.reshape(block, block))
+                rows, width = min(block, n - bi * block), min(block, m - bj * block)
+                p = (sides[0] @ sides[1])[:rows, :width]
+                ends = pa.array(np.arange(rows + 1) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(bi * block + np.arange(rows), pa.int64()), pa.array(np.full(rows, bj, "i4")), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).reshape(-1)))], ["i0", "bj", "row"])
+
+    parts = tiles(a, "bi", "bk", "x").join(tiles(b, "bk", "bj", "y"), "bk").select("bi", "bj", "x", "y").mapInArrow(run, "i0 long, bj int, row array<double>")
+    if a.shape[1] > block:
+        cells = parts.select("i0", "bj", F.posexplode("row").alias("p", "v")).groupBy("i0", "bj", "p").agg(F.sum("v").alias("v"))
+    else:
+        cells = parts.select("i0", "bj", F.posexplode("row").alias("p", "v"))
+    return SparkArray(cells.select("i0", (F.col("bj").cast("long") * block + F.col("p")).alias("i1"), "v"), (n, m))
 
 
 METHODS = {f.__name__: f for f in (cholesky, qr, svd, eig, eigvals, eigh, eigvalsh, solve, inv, pinv, det, expm, gram, tssvd, norm)}

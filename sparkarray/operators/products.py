@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from sparkarray.array import BROADCAST_CELLS, SparkArray, norm_axis
+from sparkarray.functions import complexes as C
 
 
 def einsum(expr: str, *operands: SparkArray, optimize: bool | str | list = True) -> SparkArray:
@@ -32,7 +33,7 @@ def einsum(expr: str, *operands: SparkArray, optimize: bool | str | list = True)
     modes, df, _ = work[0]
     gone = [c for c in modes if c not in out]
     if gone:
-        df = df.groupBy(*[f"m_{c}" for c in out]).agg(F.sum("v").alias("v"))
+        df = df.groupBy(*[f"m_{c}" for c in out]).agg(_added(df))
     return SparkArray(df.select(*[F.col(f"m_{c}").alias(f"i{k}") for k, c in enumerate(out)], "v"), [extent[c] for c in out])
 
 
@@ -61,6 +62,21 @@ def einsum_path(expr: str, *operands: SparkArray, optimize: str = "greedy"):
     return path, expr
 
 
+def _added(df):
+    """The sum of a column ``v`` of real or complex cells."""
+    if df.schema["v"].dataType.typeName() == "struct":
+        return F.struct(F.sum("v.re").alias("re"), F.sum("v.im").alias("im")).alias("v")
+    return F.sum("v").alias("v")
+
+
+def _times(df):
+    """``v`` times ``w``."""
+    kinds = [df.schema[c].dataType.typeName() == "struct" for c in "vw"]
+    if not any(kinds):
+        return F.col("v") * F.col("w")
+    return C.cell(C.multiply(*(C.parts(F.col(c), k) for c, k in zip("vw", kinds))))
+
+
 def _single(t: str, a: SparkArray, keep: set[str]):
     df = a.df
     names: dict[str, str] = {}
@@ -73,7 +89,7 @@ def _single(t: str, a: SparkArray, keep: set[str]):
     modes = list(names)
     own = [c for c in modes if c in keep]
     if len(own) < len(modes):
-        df = df.groupBy(*[f"m_{c}" for c in own]).agg(F.sum("v").alias("v"))
+        df = df.groupBy(*[f"m_{c}" for c in own]).agg(_added(df))
     return own, df, a.size
 
 
@@ -88,9 +104,9 @@ def _pair(p, q, keep: set[str]):
     df = pd.join(qd, [f"m_{c}" for c in shared]) if shared else pd.crossJoin(qd)
     modes = pm + [c for c in qm if c not in pm]
     own = [c for c in modes if c in keep]
-    df = df.withColumn("v", F.col("v") * F.col("w")).drop("w")
+    df = df.withColumn("v", _times(df)).drop("w")
     if len(own) < len(modes):
-        df = df.groupBy(*[f"m_{c}" for c in own]).agg(F.sum("v").alias("v"))
+        df = df.groupBy(*[f"m_{c}" for c in own]).agg(_added(df))
     return own, df, max(ps, qs)
 
 
@@ -119,15 +135,23 @@ def inner(a, b):
 
 
 def vdot(a, b):
-    return tensordot(a.ravel(), b.ravel(), 1)
+    return tensordot(a.ufunc("conjugate").ravel() if a.is_complex else a.ravel(), b.ravel(), 1)
 
 
 def outer(a, b):
     return einsum("a,b->ab", a.ravel(), b.ravel())
 
 
+#: Products of matrices with so many multiplications go by tiles: a join of cells would have as many rows.
+TILE_WORK = 50_000_000
+
+
 def matmul(a, b):
     if a.ndim <= 2 and b.ndim <= 2:
+        if a.ndim == b.ndim == 2 and a.dtype == b.dtype == "double" and a.size * b.shape[1] >= TILE_WORK:
+            from sparkarray.operators.linalg import tiled_matmul
+
+            return tiled_matmul(a, b)
         return dot(a, b)
     batch = "abcdefgh"
     n = max(a.ndim, b.ndim) - 2

@@ -61,6 +61,8 @@ def _least(v: Column) -> Column:
 
 
 def sum(a, axis=None, keepdims=False, initial=None, where=None):  # noqa: A001
+    if a.is_complex:
+        return reduce(a, F.struct(F.coalesce(F.sum("v.re"), F.lit(0.0)).alias("re"), F.coalesce(F.sum("v.im"), F.lit(0.0)).alias("im")), axis, keepdims, where)
     return reduce(_num(a), F.coalesce(F.sum(_v()), F.lit(0)), axis, keepdims, where, initial, lambda x, y: x + y)
 
 
@@ -89,6 +91,8 @@ def count_nonzero(a, axis=None, keepdims=False):
 
 
 def mean(a, axis=None, keepdims=False, where=None):
+    if a.is_complex:
+        return reduce(a, F.struct(F.avg("v.re").alias("re"), F.avg("v.im").alias("im")), axis, keepdims, where)
     return reduce(_num(a), F.avg(_v()), axis, keepdims, where)
 
 

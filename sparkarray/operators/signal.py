@@ -1,13 +1,11 @@
 """Fourier transforms along an axis, filters with boundary rules, tapers."""
 
-from __future__ import annotations
-
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,32 +16,38 @@ LINE_CELLS = 16_000_000
 
 
 def transform(a: SparkArray, kind: str, n: int | None = None, axis: int = -1, norm: str | None = None) -> SparkArray:
-    """numpy.fft on each line: lines are independent groups, of at most ``LINE_CELLS`` cells. Values are (re, im)."""
+    """numpy.fft on lines of at most ``LINE_CELLS`` cells. Values are (re, im).
+
+    A line is gathered by one aggregate on the other axes; a batch of lines is then one matrix and one call.
+    """
     k = norm_axis(axis, a.ndim)
     size = a.shape[k]
     if size > LINE_CELLS:
         raise ValueError("line too long for one kernel")
     rest = [f"i{m}" for m in range(a.ndim) if m != k]
     complex_in = a.dtype.startswith("struct")
-    cols = [F.col("v.re").alias("re"), F.col("v.im").alias("im")] if complex_in else [F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im")]
-    df = a.df.select(*rest, F.col(f"i{k}").alias("_k"), *cols)
+    parts = [F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im")] if complex_in else [F.col("v").cast("double").alias("re")]
     real_out = kind in ("irfft", "hfft")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(size, complex)
-        x[pdf["_k"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        y = getattr(np.fft, kind)(x.real if kind in ("rfft", "ihfft") else x, n, norm=norm)
-        out = pd.DataFrame({"_k": np.arange(len(y)), "re": y.real, "im": y.imag})
-        for r in rest:
-            out[r] = pdf[r].iloc[0]
-        return out[[*rest, "_k", "re", "im"]]
-
-    schema = ", ".join([*(f"{r} long" for r in rest), "_k long, re double, im double"])
-    got = (df.groupBy(*rest) if rest else df.groupBy(F.lit(0).alias("_one"))).applyInPandas(run, schema)
     m = n if n is not None else {"irfft": 2 * (size - 1), "hfft": 2 * (size - 1)}.get(kind, size)
     length = m // 2 + 1 if kind in ("rfft", "ihfft") else m
-    v = F.col("re") if real_out else F.struct("re", "im")
-    return SparkArray(got.select(*rest, F.col("_k").alias(f"i{k}"), v.alias("v")), [length if j == k else s for j, s in enumerate(a.shape)])
+    lines = a.df.select(*rest, F.struct(F.col(f"i{k}").cast("int").alias("k"), *parts).alias("x")).groupBy(*rest).agg(F.collect_list("x").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, 2_000_000 // max(size, length, 1))
+        for b in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
+            cells = b.column(len(rest)).flatten()
+            x = np.zeros((b.num_rows, size), complex if complex_in else float)
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(len(rest)).offsets.to_numpy()))
+            at = cells.field(0).to_numpy()
+            x[row, at] = cells.field(1).to_numpy() + (1j * cells.field(2).to_numpy() if complex_in else 0)
+            y = getattr(np.fft, kind)(x.real if kind in ("rfft", "ihfft") else x, n, axis=1, norm=norm)
+            ends = pa.array(np.arange(b.num_rows + 1) * length, pa.int32())
+            out = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).reshape(-1), pa.float64())) for p in ((y,) if real_out else (y.real, y.imag))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *out], [*rest, "re", "im"][: len(rest) + len(out)])
+
+    got = lines.mapInArrow(run, ", ".join([*(f"{r} long" for r in rest), "re array<double>", *([] if real_out else ["im array<double>"])]))
+    got = got.select(*rest, F.posexplode("re" if real_out else F.arrays_zip("re", "im")).alias("p", "v"))
+    return SparkArray(got.select(*rest, F.col("p").cast("long").alias(f"i{k}"), "v"), [length if j == k else s for j, s in enumerate(a.shape)])
 
 
 def _one(kind):

@@ -326,3 +326,111 @@ def test_signal(A, spark):
     same(signal.ndimage_convolve(A(V), w, "constant"), np.convolve(V, w, "same"))
     x = signal.fourier_gaussian(signal.fft(A(V)), 1.5)
     same(x, np.fft.fft(V) * np.exp(-2 * (np.pi * 1.5) ** 2 * np.fft.fftfreq(7) ** 2))
+
+
+Z = np.array([1 + 2j, -1.5 + 0j, -2j, 3 - 4j, 0.5 + 0.5j, -0.25 - 0.75j])
+W = np.array([2 - 1j, 1 + 1j, 0.5j, -1 + 0j, 4 + 0j, -3 + 2j])
+
+
+def test_complex_ufuncs(A):
+    z, w = A(Z), A(W)
+    for name in ("negative", "conjugate", "square", "reciprocal", "exp", "exp2", "expm1", "log", "log2", "log10", "log1p", "sqrt", "sin", "cos", "tan", "sinh", "cosh", "tanh", "arcsin", "arccos", "arctan", "arcsinh", "arccosh", "arctanh", "absolute", "real", "imag", "isfinite", "isnan"):
+        same(z.ufunc(name), getattr(np, name)(Z), 1e-8)
+    same(z.ufunc("angle"), np.angle(Z))
+    for name in ("add", "subtract", "multiply", "true_divide", "power", "equal", "not_equal"):
+        same(z.ufunc(name, w), getattr(np, name)(Z, W), 1e-8)
+    same(2.0 - z, 2.0 - Z)
+    same((1 + 1j) * z, (1 + 1j) * Z)
+    same(A(np.arange(6.0)) * z, np.arange(6.0) * Z)
+    same(z > w, np.greater(Z, W))
+
+
+def test_complex_sums_and_products(A):
+    z = Z.reshape(2, 3)
+    same(reductions.sum(A(z), 0), z.sum(0))
+    same(reductions.mean(A(z)), z.mean())
+    same(products.matmul(A(z), A(z.T)), z @ z.T)
+    same(products.einsum("ij,j->i", A(z), A(np.array([1.0, 2.0, 3.0]))), np.einsum("ij,j->i", z, [1.0, 2.0, 3.0]))
+    same(products.vdot(A(Z), A(W)), np.vdot(Z, W))
+    from sparkarray.operators import misc
+
+    same(misc.sort_complex(A(Z)), np.sort_complex(Z))
+    same(misc.real_if_close(A(Z.real + 0j)), Z.real)
+
+
+def test_transforms_of_lines(A):
+    t = T.copy()
+    for name in ("fft", "ifft", "rfft", "ihfft"):
+        for axis in (0, 1, 2):
+            same(getattr(signal, name)(A(t), axis=axis), getattr(np.fft, name)(t, axis=axis))
+    z = np.fft.fft(t)
+    same(signal.irfft(A(z), 5), np.fft.irfft(z, 5))
+    same(signal.hfft(A(z)), np.fft.hfft(z))
+    same(signal.fft(A(t), 6, 1, "ortho"), np.fft.fft(t, 6, 1, "ortho"))
+
+
+def test_tiled_products(A):
+    a, b = RNG.normal(size=(13, 9)), RNG.normal(size=(9, 11))
+    for block in (4, 16):
+        same(linalg.tiled_matmul(A(a), A(b), block), a @ b)
+
+
+def test_even_bins(A):
+    x = np.concatenate([np.linspace(0, 1, 31), RNG.random(50), [0.1, 0.3, 0.7, 1.0, -0.5, 2.0]])
+    for bins, lo, hi in ((10, 0.0, 1.0), (7, -0.3, 0.9), (3, 0.1, 0.4)):
+        got, edges = hist.histogram(A(x), bins, (lo, hi))
+        step = (hi - lo) / bins
+        own = [lo + k * step for k in range(bins)] + [hi]
+        assert edges == own
+        same(got, np.histogram(x, own)[0])
+
+
+def test_namespace(spark, A):
+    from sparkarray import namespace as np_
+
+    same(np_.add(A(M), 1.0), M + 1)
+    same(np_.sum(A(M), 0), M.sum(0))
+    same(np_.zeros((2, 3)), np.zeros((2, 3)))
+    same(np_.linalg.norm(A(V)), np.linalg.norm(V))
+    same(np_.fft.fft(A(V)), np.fft.fft(V))
+    same(np_.arange(5), np.arange(5))
+    same(np_.astype(A(V), "complex128"), V.astype(complex))
+    assert np_.random.rand(3, 2).shape == (3, 2)
+    assert np_.broadcast_shapes((3, 1), (1, 4)) == (3, 4) and np_.isscalar(3) and np_.iscomplexobj(A(Z))
+    assert np_.pi == np.pi and np_.isdtype("double", "real floating")
+    with pytest.raises(AttributeError):
+        np_.no_such_function  # noqa: B018
+
+
+def test_attributes(A):
+    a = A(T)
+    same(a.mT, T.swapaxes(-1, -2))
+    same(a.flat, T.ravel())
+    same(a.fill(2.0), np.full(T.shape, 2.0))
+    assert a.itemsize == 8 and a.nbytes == T.nbytes and a.strides == T.strides and a.base is None and a.view() is a
+    import io
+
+    np.testing.assert_array_equal(np.load(io.BytesIO(a.dumps())), T)
+
+
+def test_index_helpers(A):
+    from sparkarray.operators import misc
+
+    for got, want in zip(misc.ix_(A(np.array([0, 2])), A(np.array([1, 3, 4]))), np.ix_([0, 2], [1, 3, 4])):
+        same(got, want)
+    same(A(M)[misc.ix_(A(np.array([0, 2])), A(np.array([1, 3, 4])))], M[np.ix_([0, 2], [1, 3, 4])])
+    for got, want in zip(misc.tril_indices_from(A(M), -1), np.tril_indices_from(M, -1)):
+        same(got, want)
+    b = misc.broadcast(A(M), A(M[0]))
+    assert b.shape == M.shape and b.numiter == 2 and b.size == M.size
+    with pytest.raises(ValueError):
+        misc.normalize_axis_tuple((0, 0), 2)
+
+
+def test_lint(spark):
+    from sparkarray.plans import lint
+
+    wide = spark.range(10).crossJoin(spark.range(10).withColumnRenamed("id", "b"))
+    assert "every-pair join" in {f.rule for f in lint.lint(wide)}
+    assert lint.report(spark.range(5)) == "nothing found"
+    assert lint.report(wide, "csv").startswith("rule,count,meaning") and lint.report(wide, "json").startswith("[")
