@@ -143,7 +143,7 @@ class SparkArray:
             return self.ufunc("real").to_numpy() + 1j * self.ufunc("imag").to_numpy()
         pdf = self.df.toPandas()
         out = np.empty(self.shape, dtype=pdf["v"].to_numpy().dtype)
-        out[tuple(pdf[a].to_numpy() for a in self.axes)] = pdf["v"].to_numpy()
+        out[tuple(pdf[a].to_numpy() for a in self.axes)] = pdf["v"].to_numpy() if self.ndim else pdf["v"].to_numpy()[0]
         return out
 
     def item(self):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkarray.array import SparkArray
+from sparkarray.functions import complexes as C
 from sparkarray.functions import ufuncs as U
 from sparkarray.operators import creation, hist, indexing, linalg, ordering, products, random, reductions, scans, shaping, signal
 from sparkarray.sources import arrays as sources
@@ -501,7 +502,7 @@ def eye(spark, sf_dir):
     return out(creation.eye(spark, 40, 30, 1), "i", "j")
 
 
-@query("linspace", "SELECT i, round(-1.0 + i * 0.03, 9) AS value FROM range(0, 101) t(i)")
+@query("linspace", "SELECT i, round(-1.0::DOUBLE + i * 0.03::DOUBLE, 9) AS value FROM range(0, 101) t(i)")
 def linspace(spark, sf_dir):
     return out(creation.linspace(spark, -1.0, 2.0, 101), "i", digits=9)
 
@@ -565,10 +566,92 @@ def solve(spark, sf_dir):
     return out(linalg.solve(g, creation.ones(spark, g.shape[0])), "i", digits=4)
 
 
-@query("fft_rows")
+_DFT = f"""WITH {CELLS}, k AS (SELECT unnest(range(0, 64)) AS k) SELECT i, k AS j, round(sum(v * cos(2 * pi() * ((k * j) % 64) / 64)), 6) + 0.0::DOUBLE AS re,
+    round(-sum(v * sin(2 * pi() * ((k * j) % 64) / 64)), 6) + 0.0::DOUBLE AS im FROM e, k GROUP BY i, k"""
+
+
+@query("fft_rows", _DFT)
 def fft_rows(spark, sf_dir):
     a = signal.fft(vectors(spark, sf_dir))
-    return a.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.round("v.re", 6).alias("re"), F.round("v.im", 6).alias("im"))
+    return a.df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+
+
+# Factorizations, by what their factors give when multiplied.
+_GRAM = f"WITH {CELLS} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) AS value FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2"
+
+
+@query("cholesky_product", _GRAM)
+def cholesky_product(spark, sf_dir):
+    low = linalg.cholesky(linalg.gram(vectors(spark, sf_dir)))
+    return out(products.matmul(low, low.T), "i", "j", digits=6)
+
+
+@query("qr_product", _GRAM)
+def qr_product(spark, sf_dir):
+    q, r = linalg.qr(linalg.gram(vectors(spark, sf_dir)))
+    return out(products.matmul(q, r), "i", "j", digits=6)
+
+
+@query("eigh_product", _GRAM)
+def eigh_product(spark, sf_dir):
+    w, v = linalg.eigh(linalg.gram(vectors(spark, sf_dir)))
+    return out(products.matmul(v * w, v.T), "i", "j", digits=6)
+
+
+@query("svd_product", _GRAM)
+def svd_product(spark, sf_dir):
+    u, s, v = linalg.svd(linalg.gram(vectors(spark, sf_dir)))
+    return out(products.matmul(u * s, v), "i", "j", digits=6)
+
+
+@query("inv_product", "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(0, 64) a(i), range(0, 64) b(j)")
+def inv_product(spark, sf_dir):
+    g = linalg.gram(vectors(spark, sf_dir))
+    return out(products.matmul(linalg.inv(g), g), "i", "j", digits=6).withColumn("value", F.col("value") + 0.0)
+
+
+@query("solve_product", "SELECT i, 1.0::DOUBLE AS value FROM range(0, 64) a(i)")
+def solve_product(spark, sf_dir):
+    g = linalg.gram(vectors(spark, sf_dir))
+    return out(products.matmul(g, linalg.solve(g, creation.ones(spark, g.shape[0]))), "i", digits=6)
+
+
+@query("tssvd_product", f"WITH {CELLS} SELECT i, j, round(v, 6) + 0.0::DOUBLE AS value FROM e")
+def tssvd_product(spark, sf_dir):
+    u, s, v = linalg.tssvd(vectors(spark, sf_dir))
+    return out(products.matmul(u * s, v), "i", "j", digits=6).withColumn("value", F.col("value") + 0.0)
+
+
+@query("tiled_matmul", f"WITH {CELLS} SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS value FROM e a JOIN e b ON a.j = b.j GROUP BY 1, 2")
+def tiled_matmul(spark, sf_dir):
+    a = vectors(spark, sf_dir)
+    return out(linalg.tiled_matmul(a, a.T, 128), "i", "j", digits=6).withColumn("value", F.col("value") + 0.0)
+
+
+_Z = "z AS (SELECT p_partkey AS i, p_retailprice / 1000.0 AS x, p_size / 50.0 AS y FROM part)"
+
+
+@query("complex_arith", f"""WITH {_Z} SELECT i, round(x * x - y * y, 9) AS square_re, round(2 * x * y, 9) AS square_im, round(x / (x * x + y * y), 9) AS inverse_re, round(-y / (x * x + y * y), 9) AS inverse_im,
+    round(sqrt(x * x + y * y), 9) AS size, round(atan2(y, x), 9) AS angle, round(exp(x) * cos(y), 9) AS exp_re, round(exp(x) * sin(y), 9) AS exp_im, round(ln(sqrt(x * x + y * y)), 9) AS log_re FROM z""")
+def complex_arith(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), C.cell((F.col("p_retailprice") / 1000.0, F.col("p_size") / 50.0)).alias("z"))
+    z = C.parts(F.col("z"), True)
+    f = lambda name: C.UNARY[name](z)
+    parts = {"square_re": f("square")["re"], "square_im": f("square")["im"], "inverse_re": f("reciprocal")["re"], "inverse_im": f("reciprocal")["im"], "size": f("absolute"), "angle": f("angle"), "exp_re": f("exp")["re"], "exp_im": f("exp")["im"], "log_re": f("log")["re"]}
+    return p.select("i", *[F.round(c, 9).alias(n) for n, c in parts.items()])
+
+
+@query("unravel_index", "SELECT o_orderkey AS f, (o_orderkey // 32) % 1000 AS i, o_orderkey % 32 AS j FROM orders")
+def unravel_index(spark, sf_dir):
+    idx = SparkArray(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i0"), F.col("o_orderkey").alias("v")), (1,))
+    i, j = indexing.unravel_index(idx, (1000, 32))
+    return i.df.select(F.col("i0").alias("f"), F.col("v").alias("i")).join(j.df.select(F.col("i0").alias("f"), F.col("v").alias("j")), "f")
+
+
+_shape("filter_2d_wrap", lambda a: signal.ndimage_convolve(a, [[1.0, 2.0], [3.0, 4.0]], "wrap"), """SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, CAST(sum(b.v * w) AS BIGINT) AS value
+    FROM m a, (VALUES (1, 1, 1), (1, 0, 2), (0, 1, 3), (0, 0, 4)) t(di, dj, w) JOIN m b ON b.i = (a.i + di) % 5 AND b.j = (a.j + dj) % 5 GROUP BY 1, 2""")
+_shape("inner", lambda a: products.inner(a, a), "SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, CAST(sum(a.v * b.v) AS BIGINT) AS value FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2")
+_shape("swapaxes", lambda a: shaping.swapaxes(a, 0, 1), f"{_sel('j', 'i')} FROM m")
 
 
 @query("cosine_topk", """WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT vec_id AS i, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM q)), 7) AS value
