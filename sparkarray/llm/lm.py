@@ -17,11 +17,13 @@ count and are scored each; an empty table gives no rows; without any training do
 columns are ignored.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ LOOKUP, HEAD, CLASSES, KINDS = 262_144, 16_384, 32, 64
 #: Rows of the hashed tables: word before, skip, both.
 ROWS = (2048, 2048, 8192)
 ROUNDS, BATCH_TOKENS, PRIOR, RATE = 2, 100_000, 3.0, 0.4
-FLUSH, AT_ONCE = 400_000, 3000
+#: Words a worker counts before it hands them on; bytes of text it tokenizes at once.
+FLUSH, AT_ONCE = 250_000, 3_000_000
 #: Weights stay this small, so that sums of exponentials need no shift.
 MOST = 12.0
 FOLDS, HELD_OUT = 5, 1
@@ -51,15 +54,28 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return enc.dictionary, enc.indices.to_numpy(), np.bincount(doc, minlength=len(texts))
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``AT_ONCE`` bytes of text (column number ``text``), or one longer text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy())
+        at = 0
+        while at < b.num_rows:
+            to = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE, side="right")), at + 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, int] = {}
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
-    for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+    for b in slices(batches, 0):
         words, index, _ = tokens(b.column(0))
-        for w, c in zip(words.to_pylist(), np.bincount(index, minlength=len(words)).tolist()):
+        for w, c in zip(words.to_numpy(zero_copy_only=False), np.bincount(index, minlength=len(words)).tolist()):
             seen[w] = seen.get(w, 0) + c
         if len(seen) > FLUSH:
             yield out()
@@ -87,7 +103,7 @@ class Vocabulary:
         """Token ids of all texts, each followed by its end; text of each token; words out of the lookup as negative ids -1 - k into the words returned."""
         words, index, n = tokens(texts)
         get = self.ids.get
-        ids = np.fromiter((get(w, -1 - k) for k, w in enumerate(words.to_pylist())), "i8", len(words))
+        ids = np.fromiter((get(w, -1 - k) for k, w in enumerate(words.to_numpy(zero_copy_only=False))), "i8", len(words))
         out = np.zeros(len(index) + len(n), "i8")
         at = np.ones(len(out), bool)
         ends = np.cumsum(n + 1) - 1
@@ -120,17 +136,56 @@ def _kinds(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         m = np.zeros(KINDS * HEAD, "i8")
-        for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+        for b in slices(batches, 0):
             ids, doc, words, _ = v.stream(b.column(0))
             _, _, kind = history(ids, doc, words)
             head = (ids >= 0) & (ids < HEAD)
             m += np.bincount(kind[head] * HEAD + ids[head], minlength=KINDS * HEAD)
-        key = np.flatnonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype("i4")), pa.array(m[key])], ["key", "c"])
+        seen = np.flatnonzero(m.reshape(KINDS, HEAD).any(axis=1))
+        yield _table(seen, np.ones(len(seen), "i8"), m.reshape(KINDS, HEAD)[seen].astype("f8"))
+
+    return run
+
+
+#: Rows of numbers that many tasks give and that are summed: salt (of the task), name of the row, weight, the numbers.
+SUMS = "salt int, name int, n long, d binary"
+MOST_SALTS = 1024
+
+
+def _table(name: np.ndarray, n: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    context = TaskContext.get()
+    salt = np.full(len(name), context.partitionId() % MOST_SALTS if context else 0, "i4")
+    return pa.RecordBatch.from_arrays([pa.array(salt), pa.array(name.astype("i4")), pa.array(n.astype("i8")), pa.array([x.tobytes() for x in d], pa.binary())], ["salt", "name", "n", "d"])
+
+
+def _sum(kind: str):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        at, back = np.unique(t["name"].to_numpy(), return_inverse=True)
+        total, weight = None, np.bincount(back, t["n"].to_numpy(), len(at)).astype("i8")
+        for k, x in zip(back.tolist(), (y for c in t["d"].chunks for y in c.to_numpy(zero_copy_only=False))):
+            x = np.frombuffer(x, kind)
+            if total is None:
+                total = np.zeros((len(at), len(x)), kind)
+            total[k] += x
+        salt = np.full(len(at), key[0].as_py(), "i4")
+        return pa.table({"salt": salt, "name": pa.array(at.astype("i4")), "n": weight, "d": pa.array([x.tobytes() for x in total], pa.binary())})
 
     return run
 
 
+def summed(rows: DataFrame, kind: str, parts: int) -> pa.Table:
+    """Rows of one name added up: first those of some tasks together (``salt``), then these sums, so that no group grows with the tasks."""
+    n = rows.rdd.getNumPartitions()
+    salts = max(1, min(MOST_SALTS, math.isqrt(n)))
+    part = F.col("name") % parts
+    first = rows.withColumn("salt", F.col("salt") % salts).groupBy("salt", part).applyInArrow(_sum(kind), SUMS)
+    return first.withColumn("salt", F.lit(0)).groupBy("salt", part).applyInArrow(_sum(kind), SUMS).select("name", "n", "d").toArrow()
+
+
+def numbers(t: pa.Table, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t["d"].to_pylist()), kind).reshape(len(t), -1)
+
+
 def classes(m: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Class of each head word by k-means over what it follows; the end has class 0, words out of the head the last."""
     x = np.sqrt((m.T + 1e-9) / (m.T + 1e-9).sum(axis=1, keepdims=True))
@@ -177,12 +232,13 @@ def within(m: np.ndarray, cls: np.ndarray, counts: np.ndarray, rounds: int = 30)
 
 
 def softmax(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
-    z += w[rows[:, 1]]
-    z += w[rows[:, 2]]
-    z += bias
+    """Probabilities, classes x tokens: each class's weights are a short row that stays near while tokens are looked up."""
+    z = np.take(w, rows[:, 0], axis=1)
+    for f in (1, 2):
+        z += np.take(w, rows[:, f], axis=1)
+    z += bias[:, None]
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z /= np.ones(len(z), z.dtype) @ z
     return z
 
 
@@ -191,7 +247,7 @@ def _train(vocabulary, cls: np.ndarray, state):
         v: Vocabulary = vocabulary.value
         w0, bias = state.value
         w = w0.copy()
-        n_row = np.zeros(len(w))
+        n_row = np.zeros(w.shape[1])
         full = np.full(LOOKUP + 1, CLASSES - 1, "i8")
         full[: len(cls)] = cls
         left: list[tuple[np.ndarray, np.ndarray]] = []
@@ -199,44 +255,32 @@ def _train(vocabulary, cls: np.ndarray, state):
         def step(rows: np.ndarray, y: np.ndarray) -> None:
             p = softmax(w, bias, rows)
             for f in range(3):
-                r = rows[:, f]
-                order = np.argsort((r - sum(ROWS[:f])).astype("u2"), kind="stable")
-                r = r[order]
-                starts = np.flatnonzero(np.diff(r, prepend=-1))
-                here = r[starts]
-                expected = np.add.reduceat(p[order], starts, axis=0)
-                back = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(r))))
-                observed = np.bincount(back * CLASSES + y[order], minlength=len(starts) * CLASSES).reshape(-1, CLASSES)
-                w[here] = np.clip(w[here] + RATE * np.clip((observed - expected) / (expected + PRIOR), -1, 2), -MOST, MOST)
-                n_row[here] += np.diff(np.append(starts, len(r)))
-
-        for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+                lo, n = sum(ROWS[:f]), ROWS[f]
+                r = rows[:, f] - lo
+                expected = np.stack([np.bincount(r, q, n) for q in p])
+                observed = np.bincount(y * n + r, minlength=n * CLASSES).reshape(CLASSES, n)
+                own = w[:, lo : lo + n]
+                own += RATE * np.clip((observed - expected) / (expected + PRIOR), -1, 2)
+                np.clip(own, -MOST, MOST, out=own)
+                n_row[lo : lo + n] += np.bincount(r, minlength=n)
+
+        for b in slices(batches, 0):
             ids, doc, words, _ = v.stream(b.column(0))
             one, two, _ = history(ids, doc, words)
             left.append((features(one, two), np.where(ids >= 0, full[np.maximum(ids, 0)], CLASSES - 1)))
-            if sum(len(y) for _, y in left) >= BATCH_TOKENS:
-                step(*(np.concatenate(x) for x in zip(*left)))
-                left.clear()
-        if left:
-            step(*(np.concatenate(x) for x in zip(*left)))
+            rows, y = (np.concatenate(x) for x in zip(*left))
+            whole = len(y) - len(y) % BATCH_TOKENS
+            for k in range(0, whole, BATCH_TOKENS):
+                step(rows[k : k + BATCH_TOKENS], y[k : k + BATCH_TOKENS])
+            left[:] = [(rows[whole:], y[whole:])]
+        if left and len(left[0][1]):
+            step(*left[0])
         at = np.flatnonzero(n_row)
-        change = (w[at] - w0[at]).astype("f2")
-        yield pa.RecordBatch.from_arrays([pa.array((at % 64).astype("i4")), pa.array(at.astype("i4")), pa.array(n_row[at]), pa.array([x.tobytes() for x in change], pa.binary())], ["part", "row", "n", "d"])
+        yield _table(at, n_row[at], ((w[:, at] - w0[:, at]) * n_row[at]).T.astype("f4"))
 
     return run
 
 
-def _average(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    rows, n = t["row"].to_numpy(), t["n"].to_numpy()
-    d = np.frombuffer(b"".join(t["d"].to_pylist()), "f2").reshape(-1, CLASSES).astype("f4")
-    at, back = np.unique(rows, return_inverse=True)
-    total, weight = np.zeros((len(at), CLASSES)), np.zeros(len(at))
-    np.add.at(total, back, d * n[:, None])
-    np.add.at(weight, back, n)
-    mean = (total / weight[:, None]).astype("f4")
-    return pa.table({"row": pa.array(at, pa.int32()), "d": pa.array([x.tobytes() for x in mean], pa.binary())})
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, counts array<long>"
 
 
@@ -251,7 +295,7 @@ def _score(vocabulary, cls: np.ndarray, model, totals: dict):
         base = np.log10((counts + 0.5) / totals["base"])
         tail = np.log10(np.maximum(np.where(counts > 1, counts, 0.5), 0.5) / totals["tail"])
         known = counts > 0
-        for b in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+        for b in slices(batches, 2):
             ids, doc, words, _ = v.stream(b.column(2))
             one, two, kind = history(ids, doc, words)
             rows = features(one, two)
@@ -262,7 +306,7 @@ def _score(vocabulary, cls: np.ndarray, model, totals: dict):
             for k in range(0, len(ids), BATCH_TOKENS):
                 part = slice(k, k + BATCH_TOKENS)
                 p = softmax(w, bias, rows[part])
-                lp[part] = np.log10(np.maximum(p[np.arange(len(p)), y[part]], 1e-30))
+                lp[part] = np.log10(np.maximum(p[y[part], np.arange(p.shape[1])], 1e-30))
             head = seen & (ids < len(cls))
             lp[head] += inner[kind[head], ids[head]]
             rest = seen & ~head
@@ -301,10 +345,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shared = sc.broadcast(vocabulary)
     n_head = min(HEAD, len(vocabulary.counts))
 
-    m = np.zeros(KINDS * HEAD)
-    got = train.select("text").mapInArrow(_kinds(shared), "key int, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
-    m[got["key"].to_numpy()] = got["c"].to_numpy()
-    m = m.reshape(KINDS, HEAD)[:, :n_head]
+    m = np.zeros((KINDS, n_head))
+    got = summed(train.select("text").mapInArrow(_kinds(shared), SUMS), "f8", KINDS)
+    if len(got):
+        m[got["name"].to_numpy()] = numbers(got, "f8")[:, :n_head]
     cls = classes(m, vocabulary.counts)
     inner = within(m, cls, vocabulary.counts[:n_head].astype("f8"))
 
@@ -312,19 +356,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     seen = np.bincount(cls, vocabulary.counts[:n_head], CLASSES)
     seen[CLASSES - 1] += in_tail
     bias = np.log((seen + 0.5) / (seen + 0.5).sum()).astype("f4")
-    w = np.zeros((sum(ROWS), CLASSES), "f4")
+    w = np.zeros((CLASSES, sum(ROWS)), "f4")
     folds = [f for f in range(FOLDS) if f != HELD_OUT]
     for r in range(ROUNDS):
         state = sc.broadcast((w, bias))
         part = train.filter(F.col("fold").isin(folds[r::ROUNDS])).select("text")
-        change = part.mapInArrow(_train(shared, cls, state), "part int, row int, n double, d binary").groupBy("part").applyInArrow(_average, "row int, d binary").toArrow()
+        change = summed(part.mapInArrow(_train(shared, cls, state), SUMS), "f4", 64)
         if len(change):
-            w[change["row"].to_numpy()] += np.frombuffer(b"".join(change["d"].to_pylist()), "f4").reshape(-1, CLASSES)
+            w[:, change["name"].to_numpy()] += (numbers(change, "f4") / change["n"].to_numpy()[:, None]).T
 
     # Of words out of the head: those seen once give half of their mass to the unknown.
-    singles = float(once)
+    singles = float(once - (vocabulary.counts[1:n_head] == 1).sum())
     half = max(0.5 * singles, 0.5)
-    totals = {"base": total + 0.5 * (distinct + 1), "tail": in_tail - singles + 0.5 * singles + half}
+    totals = {"base": total + 0.5 * (distinct + 1), "tail": in_tail - 0.5 * singles + half}
     model = sc.broadcast((w, bias, inner))
     scored, path = written(rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared, cls, model, totals), SCORED).withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))

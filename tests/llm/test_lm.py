@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
-import pytest
 from brute import SF, awkward_dir
 
 from sparkarray.llm import lm
@@ -34,11 +33,7 @@ def check(spark, sf_dir):
     return got
 
 
-@pytest.mark.parametrize("lookup", [lm.LOOKUP, 300])
-def test_small(spark, monkeypatch, lookup):
-    monkeypatch.setattr(lm, "HEAD", min(lm.HEAD, lookup))
-    if lookup != lm.LOOKUP:
-        pytest.skip("workers read the constant by themselves")
+def test_small(spark):
     got = check(spark, SF)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
@@ -63,9 +58,21 @@ def test_probabilities_sum_to_one():
     inner = 10.0 ** lm.within(m, cls, counts)
     for c in np.unique(cls):
         assert np.allclose(inner[:, cls == c].sum(axis=1), 1, atol=1e-4)
-    w = rng.normal(size=(sum(lm.ROWS), lm.CLASSES)).astype("f4")
+    w = rng.normal(size=(lm.CLASSES, sum(lm.ROWS))).astype("f4")
     rows = lm.features(rng.integers(0, 1000, 500), rng.integers(0, 1000, 500))
-    assert np.allclose(lm.softmax(w, np.zeros(lm.CLASSES, "f4"), rows).sum(axis=1), 1, atol=1e-4)
+    assert np.allclose(lm.softmax(w, np.zeros(lm.CLASSES, "f4"), rows).sum(axis=0), 1, atol=1e-4)
+
+
+def test_sums_of_tasks_do_not_depend_on_how_they_are_grouped(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(int(s), int(k), 1, rng.integers(0, 9, 5).astype("f8").tobytes()) for s in range(12) for k in rng.choice(8, 4, replace=False)]
+    df = spark.createDataFrame(rows, lm.SUMS).repartition(9)
+    got = lm.summed(df, "f8", 3)
+    want = {}
+    for _, k, _, d in rows:
+        want[k] = want.get(k, 0) + np.frombuffer(d, "f8")
+    assert {k: x.tolist() for k, x in zip(got["name"].to_pylist(), lm.numbers(got, "f8"))} == {k: x.tolist() for k, x in want.items()}
+    assert sum(got["n"].to_pylist()) == len(rows)
 
 
 def test_histories_stay_in_their_text():
