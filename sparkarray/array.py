@@ -266,6 +266,91 @@ class SparkArray:
 
         return indexing.get(self, key)
 
+    def __setitem__(self, key, value) -> None:
+        """The handle takes a new plan in which the named cells have new values; of several for one cell the last wins."""
+        from sparkarray.operators import indexing
+
+        spots = indexing.get(SparkArray(self.df.withColumn("v", self.flat_id()), self.shape), key)
+        cast = lambda v: F.lit(v).cast(self.df.schema["v"].dataType)
+        if isinstance(value, (list, np.ndarray)):
+            value = SparkArray.from_numpy(self.spark, value)
+        if isinstance(value, SparkArray):
+            pairs = spots.binary(value.broadcast_to(spots.shape), lambda f, v: F.struct(f.alias("f"), cast(v).alias("new")))
+        else:
+            pairs = spots.map(lambda f: F.struct(f.alias("f"), cast(value).alias("new")))
+        at = [(F.expr(f"v.f div {max(st, 1)}") % max(s, 1)).alias(f"p{k}") for k, (s, st) in enumerate(zip(self.shape, strides(self.shape)))]
+        updates = pairs.df.select(*at, F.col("v.new").alias("new"), pairs.flat_id().alias("nth")).withColumnsRenamed({f"p{k}": f"i{k}" for k in range(self.ndim)})
+        self.df = indexing.scatter(self, updates).df
+
+    def __iter__(self):
+        """Slices along the first axis, each a plan of its own; for whole arrays prefer operators."""
+        if not self.ndim:
+            raise TypeError("iteration over a 0-d array")
+        return (self[k] for k in range(self.shape[0]))
+
+    def _scalar(self):
+        if self.size != 1:
+            raise TypeError("only arrays of one cell are numbers")
+        x = self.df.first()["v"]
+        return complex(x["re"], x["im"]) if self.is_complex else x
+
+    def __bool__(self) -> bool:
+        return bool(self._scalar())
+
+    def __int__(self) -> int:
+        return int(self._scalar())
+
+    def __float__(self) -> float:
+        return float(self._scalar())
+
+    def __complex__(self) -> complex:
+        return complex(self._scalar())
+
+    def __index__(self) -> int:
+        if self.dtype not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError("only whole numbers are indices")
+        return int(self._scalar())
+
+    def __contains__(self, value) -> bool:
+        return bool(self.df.filter(U.ufunc("equal")(F.col("v"), value)).limit(1).count())
+
+    def __copy__(self) -> SparkArray:
+        return SparkArray(self.df, self.shape)
+
+    def __deepcopy__(self, memo) -> SparkArray:
+        return SparkArray(self.df, self.shape)
+
+    def __repr__(self) -> str:
+        return f"SparkArray(shape={self.shape}, dtype={self.dtype})"
+
+    def __divmod__(self, other):
+        return self // other, self % other
+
+    def __pos__(self):
+        return self.ufunc("positive")
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self.to_numpy() if dtype is None else self.to_numpy().astype(dtype)
+
+    def __array_namespace__(self, *, api_version=None):
+        from sparkarray import namespace
+
+        return namespace
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        """NumPy's ufuncs on these arrays become plans."""
+        if method != "__call__" or kwargs:
+            return NotImplemented
+        name, (first, *rest) = ufunc.__name__, inputs
+        if not isinstance(first, SparkArray):
+            first = SparkArray.from_numpy(rest[0].spark, first)
+        return first.ufunc({"divide": "true_divide"}.get(name, name), *rest)
+
+    def __array_function__(self, func, types, args, kwargs):
+        from sparkarray import namespace
+
+        return getattr(namespace, func.__name__)(*args, **kwargs)
+
     def __neg__(self):
         return self.ufunc("negative")
 

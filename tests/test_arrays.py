@@ -434,3 +434,38 @@ def test_lint(spark):
     assert "every-pair join" in {f.rule for f in lint.lint(wide)}
     assert lint.report(spark.range(5)) == "nothing found"
     assert lint.report(wide, "csv").startswith("rule,count,meaning") and lint.report(wide, "json").startswith("[")
+
+
+def test_setting_cells(A):
+    def held(key, value, own=None):
+        a, m = A(T.copy()), T.copy()
+        a[key] = value
+        m[key if own is None else own] = value.to_numpy() if isinstance(value, SparkArray) else value
+        same(a, m)
+
+    held((0, slice(None), 1), 7.0)
+    held((slice(None), 1), A(np.arange(4.0)))
+    held((Ellipsis, slice(None, None, 2)), [[1.0, 2.0]])
+    held(A(T > 0), 0.0, T > 0)
+    idx = np.array([1, 0, 1])
+    held(A(idx), 5.0, idx)
+    a, m = A(V.copy()), V.copy()
+    a[A(np.array([1, 3, 1]))] = A(np.array([10.0, 20.0, 30.0]))
+    m[[1, 3, 1]] = [10.0, 20.0, 30.0]
+    same(a, m)
+
+
+def test_python_protocols(A):
+    a = A(M)
+    assert float(a[0, 0]) == M[0, 0] and int(A(np.array([3]))) == 3 and bool(A(np.array([0.0]))) is False and 2.5 in A(V) and 9.5 not in A(V)
+    for got, want in zip(a, M):
+        same(got, want)
+    same(np.add(a, 1.0), M + 1)
+    same(np.multiply(2.0, a), 2 * M)
+    same(np.sum(a, 1), M.sum(1))
+    np.testing.assert_array_equal(np.asarray(a), M)
+    for got, want in zip(divmod(a, 0.7), divmod(M, 0.7)):
+        same(got, want)
+    assert repr(a) == "SparkArray(shape=(4, 5), dtype=double)"
+    with pytest.raises(TypeError):
+        float(a)
