@@ -6,11 +6,15 @@ last stage returns the pieces of the packed sequences; all others return the col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from threading import get_ident
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkarray.llm import minhash, mixing, packing, pii, quality
-from sparkarray.llm.common import table, written
+from sparkarray.llm.common import recorded, release, table, written
 
 #: The mix takes nine tenths of the tokens it is given, at most two epochs of a source.
 SHARE, EPOCHS = (9, 10), 2
@@ -37,16 +41,37 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(docs)
 
 
-STAGES = [("quality", good_quality), ("near-duplicates", near_duplicates), ("personal-data", personal_data), ("mixing", mixing_stage), ("packing", pack)]
+_working: dict[tuple[int, int], list[str]] = {}
+
+
+def _stage(k: int, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose predecessor's working tables go: its result has been written when this one begins."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        me = get_ident()
+        release(spark, _working.pop((me, k - 1), []))
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _working[me, k] = made
+        return out
+
+    return run
+
+
+_ORDER = (("quality", good_quality), ("near-duplicates", near_duplicates), ("personal-data", personal_data), ("mixing", mixing_stage), ("packing", pack))
+STAGES = [(name, _stage(k, f)) for k, (name, f) in enumerate(_ORDER)]
 
 #: SQL can't express the signatures or the tokenizer: the tests hold run() against a version by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs, _ = written(docs, f"stage-{name}")
+            docs, path = written(docs, f"stage-{name}")
+            release(spark, before)
+            before = [path]
     return docs

@@ -6,7 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,32 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, s
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    for made in _recorders:
+        made.append(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [m for m in _recorders if m is not made]
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Tables that nothing reads any more."""
+    for path in paths:
+        drop_table(spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         drop_table(spark, path)

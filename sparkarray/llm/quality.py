@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkarray.llm.common import WORD, ascii_words, col, cols, free_name, table, written
+from sparkarray.llm.common import WORD, ascii_words, col, cols, table, written
 
 SHARE, STEPS, STARTS, LEAST = 0.75, 3, 3, 40
 #: Chi-square with 4 degrees of freedom at 0.999999, times the consistency factor of a 0.75 subset.
@@ -190,16 +190,15 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns: verdicts are a function of a text, its language and its source."""
-    names = free_name(docs, "q_text_key", "q_lang", "q_source")
-    key = {"text_key": F.md5(F.coalesce(col("text"), F.lit(""))), "lang": F.coalesce(col("lang"), F.lit("")), "source": F.coalesce(col("source"), F.lit(""))}
-    counted = counts(docs, col("text"), key).withColumn("seed", F.conv(F.substring("text_key", 1, 15), 16, 10).cast("long"))
-    counted, _ = written(counted, "quality-counts")
-    good = _verdict(counted, *fit(_stats(counted))).filter("not kept").select("text_key", "lang", "source").distinct()
-    bad, _ = written(good, "quality-rejected")
-    renamed = bad.select(*[F.col(c).alias(n) for c, n in zip(bad.columns, names)])
-    here = [k.alias(n) for k, n in zip(key.values(), names)]
-    return docs.select(*cols(docs.columns), *here).join(renamed, names, "left_anti").select(*cols(docs.columns))
+    """The documents that are kept, with their own columns: verdicts are a function of a text, its language and its source.
+
+    The counts are written beside the documents, so the verdict is a filter and no text moves between machines.
+    """
+    digest = F.conv(F.substring(F.md5(F.coalesce(col("text"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    key = {"document": F.struct(*cols(docs.columns)), "seed": digest, "lang": F.coalesce(col("lang"), F.lit("")), "source": F.coalesce(col("source"), F.lit(""))}
+    counted, _ = written(counts(docs, col("text"), key), "quality-counts")
+    kept = _verdict(counted, *fit(_stats(counted))).filter("kept")
+    return kept.select(*[F.col("document")[c].alias(c) for c in docs.columns])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
