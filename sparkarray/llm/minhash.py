@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkarray.llm.common import col, cols, drop_table, free_name, table, written
+from sparkarray.llm.common import col, cols, drop_table, free_name, recorded, release, table, written
 from sparkarray.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,8 +50,9 @@ def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     """Document number and 64-bit hash of every shingle, in order of the documents."""
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     enc = words.flatten().dictionary_encode()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in enc.dictionary.to_pylist()), "u8", len(enc.dictionary))
-    full = np.fromiter((bool(w) for w in enc.dictionary.to_pylist()), bool, len(enc.dictionary))
+    names = enc.dictionary.to_numpy(zero_copy_only=False)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, names), "u8", len(names))
+    full = np.fromiter(map(bool, names), bool, len(names))
     index = enc.indices.to_numpy()
     doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
     some = full[index] if len(index) else np.zeros(0, bool)
@@ -252,7 +253,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, with its own columns."""
-    found, _ = written(groups(docs, similarity).select("doc_id", "k1", "k2", "kept"), "minhash-groups")
+    with recorded() as made:
+        found, path = written(groups(docs, similarity).select("doc_id", "k1", "k2", "kept"), "minhash-groups")
+    release(docs.sparkSession, set(made) - {path})
     by = found.groupBy("doc_id", "k1", "k2").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
     gone, _ = written(by.filter("not kept or rows > 1"), "minhash-gone")
     n1, n2, nd, nk, nr = free_name(docs, "mh_k1", "mh_k2", "mh_doc", "mh_kept", "mh_rows")
