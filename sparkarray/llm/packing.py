@@ -27,7 +27,7 @@ from sparkarray.llm.common import col, table, written
 
 WINDOW, END_ID = 2048, 1
 #: Words a worker keeps with their ids; when full it starts anew. Documents whose words are told apart at once.
-CACHE_WORDS, CACHE_LEN, AT_ONCE = 500_000, 48, 2500
+CACHE_WORDS, CACHE_LEN, AT_ONCE = 250_000, 48, 1000
 
 _known: dict[str, tuple] = {}
 
@@ -68,13 +68,13 @@ PLAIN = "^(?P<body>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+
 def _looked_up(words: pa.Array, encode, store: dict[str, bytes]) -> pa.Array:
     """Ids of words, each distinct one looked up or encoded once."""
     enc = words.dictionary_encode()
-    names = enc.dictionary.to_pylist()
+    names = enc.dictionary.to_numpy(zero_copy_only=False)
     got = list(map(store.get, names))
     new = [i for i, x in enumerate(got) if x is None]
     if len(store) + len(new) > CACHE_WORDS:
         store.clear()
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
+    for k in range(0, len(new), 4000):
+        part = new[k : k + 4000]
         for i, e in zip(part, encode([names[i] for i in part])):
             got[i] = np.array(e.ids, "<u4").tobytes()
             if len(names[i]) <= CACHE_LEN:
