@@ -329,6 +329,22 @@ def _score(vocabulary, cls: np.ndarray, model, totals: dict):
     return run
 
 
+def commonest(counts: DataFrame, most: int) -> pa.Table:
+    """The commonest words with their counts, at most so many, in order: all words above some count.
+
+    Counts are binned (each below 256 by itself, then 32 bins for each doubling); the bins' sizes name the lowest bin that fits
+    whole, so nothing is sorted on the cluster and what the driver takes is bounded.
+    """
+    binned = counts.withColumn("bin", F.when(F.col("c") < 256, F.col("c")).otherwise(F.floor(32 * F.log2(F.col("c").cast("double")))))
+    left, least = most, 2**62
+    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):  # a bin for each power's part
+        if r.n > left:
+            break
+        left, least = left - r.n, r.bin
+    got = binned.filter(F.col("bin") >= least).select("word", "c").toArrow()
+    return got.sort_by([("c", "descending"), ("word", "ascending")])
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -340,7 +356,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts, _ = written(train.select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
     total, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toArrow()
+    top = commonest(counts, LOOKUP)
     vocabulary = Vocabulary(top["word"].to_pylist(), np.concatenate([[n_docs], top["c"].to_numpy().astype("i8")]))
     shared = sc.broadcast(vocabulary)
     n_head = min(HEAD, len(vocabulary.counts))

@@ -79,3 +79,17 @@ def test_histories_stay_in_their_text():
     ids, doc = np.array([3, 4, 0, 5, 0]), np.array([0, 0, 0, 1, 1])
     one, two, _ = lm.history(ids, doc, None)
     assert one.tolist() == [0, 3, 4, 0, 5] and two.tolist() == [0, 0, 3, 0, 0]
+
+
+def test_commonest_words(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"w{k}", int(c)) for k, c in enumerate(np.concatenate([rng.integers(1, 6, 300), rng.integers(200, 100_000, 60)]))]
+    counts = spark.createDataFrame(rows, "word string, c long")
+    for most in (0, 5, 40, 100, 200, 1000):
+        got = list(zip(*(lm.commonest(counts, most)[c].to_pylist() for c in ("word", "c"))))
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))
+        assert got == want[: len(got)] and len(got) <= most
+        if most >= len(rows):
+            assert len(got) == len(rows)
+        elif got:
+            assert got[-1][1] > want[len(got)][1] or len(got) == most
