@@ -9,7 +9,7 @@ repeated.
 What meets in a merge is decided by content, so that the merges are many and small:
 
 1. Every window of ``LENGTH`` bytes is named by the least hash among its ``GRAM``-byte strings. Equal windows have equal
-   names. Neighbouring windows with one name are a run; a text has a run for some 70 bytes.
+   names. Neighbouring windows with one name are a run, of ``SPAN`` windows at most; a text has a run for some 70 bytes.
 2. A name that occurs once can't repeat. Where all runs of a name are equal texts, all their windows repeat. This leaves
    the runs at the borders of repeats: of these, one of each distinct text goes to the merge of its name's part.
 3. A name with very many distinct runs is divided by where the name lies in a window, in steps, and by what all windows
@@ -93,6 +93,9 @@ def runs(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     fits = np.arange(n) + LENGTH <= end[:n]
     new = np.ones(n, bool)
     new[1:] = (v[1:] != v[:-1]) | (end[1:n] != end[: n - 1]) | (fits[1:] != fits[:-1])
+    # Periodic text keeps one name without end: cut, so that the first and the last window hold every byte.
+    at = np.arange(n)
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % SPAN == 0
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, n))
     ok = fits[start]
@@ -102,7 +105,7 @@ def runs(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     name = v[start]
     last = start + count - 1
     text = mix(whole[start] * u64(3) + mix(whole[last] + count.astype("u8")))
-    # A name that lies at two places near each other may repeat within its run, and runs longer than a window's names.
+    # A name that lies at two places near each other may repeat within its run.
     most = rolling(np.concatenate([np.zeros(SPAN - 1, "u8"), v, np.zeros(SPAN - 1, "u8")]), SPAN, np.maximum)
     place = np.flatnonzero(g == most[: len(g)])
     twice = (g[place][1:] == g[place][:-1]) & (np.diff(place) < SPAN)

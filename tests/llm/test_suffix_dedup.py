@@ -46,6 +46,36 @@ def test_planted(spark):
     against(spark, planted())
 
 
+def test_periodic_texts_that_differ_in_the_middle(spark):
+    """A repeated line keeps one name over thousands of bytes; what differs far from both ends of it counts."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    texts = []
+    for period in (40, 61, 137, 200):
+        line = letters(period - 1) + "\n"
+        for at in (1500, 1503, 1700):
+            text = line * (3000 // period)
+            texts.append(text[:at] + "#" + text[at + 1 :])
+        texts.append(letters(period) * 6)
+    texts += [t + "tail" for t in ("-" * 900 + "+" + "-" * 900, "-" * 901 + "+" + "-" * 899, "-" * 900 + "*" + "-" * 900)]
+    against(spark, texts)
+
+
+@pytest.mark.parametrize("period, seed", [(40, 1), (61, 4), (100, 3)])
+def test_runs_have_one_hash_for_one_text_only(period, seed):
+    """Two texts of which a byte differs: a run's name, hash and length tell all its bytes."""
+    line = bytes(np.random.default_rng(seed).integers(97, 123, period, dtype="u1"))
+    seen: dict[tuple[int, int], bytes] = {}
+    for at in range(1300, 1300 + 3 * period, 7):
+        for c in b"#", b"*":
+            text = line * (3000 // period)
+            text = text[:at] + c + text[at + 1 :]
+            start, count, name, whole, _ = suffix_dedup.runs(np.frombuffer(text, "u1"), np.array([len(text)]))
+            for s, k, v, t in zip(start.tolist(), count.tolist(), name.tolist(), whole.tolist()):
+                own = text[s : s + k + suffix_dedup.LENGTH - 1]
+                assert seen.setdefault((v, t), own) == own
+
+
 def test_names_with_many_runs(spark, monkeypatch):
     """A short passage in hundreds of texts: its names have a run of their own in each, and are divided."""
     monkeypatch.setattr(suffix_dedup, "MANY", 8)
