@@ -3,7 +3,8 @@
 A turn is a row (conversation, turn number, role, parts); a part is text, image, audio or document. The visitor walks the
 parts in order: text is escaped, every other part becomes one placeholder control string, is recorded as an attachment and
 counts for as many tokens as its size asks for. Turns are marked by control strings, each of which begins with ``<`` or
-``[``; inside texts and roles these beginnings (and ``&``) are written as entities, so the output reads back exactly.
+``[``; inside texts and roles every ``<``, ``[`` and ``&`` is written as an entity, whatever follows it, so neighbouring
+parts can't join to a control string and the output reads back exactly.
 
 Edge cases: null text or role is empty; null parts are none; an unknown part type is an attachment of type ``document``; a
 null conversation id is one conversation; a null turn number comes first; turns with equal numbers follow the order of
@@ -26,9 +27,7 @@ PART = "struct<type:string,text:string,ref:string,units:int>"
 
 
 def escape(x: Column) -> Column:
-    x = F.regexp_replace(x, "&", "&amp;")
-    x = F.regexp_replace(x, r"<(?=\||/?s>)", "&lt;")
-    return F.regexp_replace(x, r"\[(?=/?INST\])", "&lsb;")
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("["), F.lit("&lsb;"))
 
 
 def unescape(x: Column) -> Column:
@@ -126,7 +125,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_chat": op6_chat}
 
-_ESC = r"(length({x}) + 4 * len(regexp_extract_all({x}, '&')) + 3 * len(regexp_extract_all({x}, '<\||</?s>')) + 4 * len(regexp_extract_all({x}, '\[/?INST\]')))"
+_ESC = r"(length({x}) + 4 * len(regexp_extract_all({x}, '[&\[]')) + 3 * len(regexp_extract_all({x}, '<')))"
 ORACLE = {
     "op6_chat": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations

@@ -1,20 +1,24 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, one representative for each group.
 
 Equal vectors are one class from the start, with the number of its copies. Spherical k-means, fitted on a bounded sample
-(``SAMPLE`` vectors, those with the least hash of their id), gives the cells; every class goes to its nearest cell and, as
-a visitor, to each cell whose border with that is closer than ``MARGIN``. Two unit vectors with a cosine of 0.95 lie at
-most 0.317 apart; a margin of 0.317 would be exact for any data. The difference of such vectors has only a small part in any
-one direction (a deviation of 0.04 in 64 dimensions), and a pair is lost only if the border lies further than the margin
-from both, so 0.08 is four deviations (the tests measure recall against brute force).
+(``SAMPLE`` vectors, those with the least hash of their components), gives the cells; every class goes to its nearest cell
+and, as a visitor, to each cell whose border with that is closer than a margin. A pair is lost only if the border between
+its two cells lies further than the margin from both vectors, so half the distance of two unit vectors at the least cosine
+(``exact_margin``, 0.158 at 0.95) loses nothing. A smaller margin is taken where the sample shows that the vectors spread
+over many directions: if differences spread like the vectors do, their part in any one direction has at most the deviation
+of the widest direction, and a margin of two such deviations means that a lost pair has four (``margin_of``; the exact one
+is never exceeded). The tests measure recall against brute force on round and on flat data.
 A cell is dealt into blocks of bounded size, and block pairs are the unit of work: one product in double precision, of
 which only each vector's number of links and its least linked relative leave the task.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
-component; shorter vectors count as padded with zeros; repeated rows link with each other; a null vec_id stays; an empty
-table gives no rows; further columns are ignored, whatever their names.
+component; shorter vectors count as padded with zeros; repeated rows link with each other; different vectors may share a
+vec_id; a null vec_id never names a component: where all of a component's ids are null its component_id is null and its rows
+are kept; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from sparkarray.llm.common import col, table, written
 from sparkarray.llm.components import components
 
-COSINE, SAMPLE, CELL, MOST_CELLS, MARGIN, BLOCK = 0.95, 16_384, 512, 2048, 0.08, 4096
+COSINE, SAMPLE, CELL, MOST_CELLS, BLOCK = 0.95, 16_384, 512, 2048, 4096
+#: Deviations of a difference along its widest direction that a margin covers, on either side of the border.
+DEVIATIONS = 2.0
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -53,6 +59,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
+def exact_margin(cosine: float) -> float:
+    return math.sqrt(max(2 - 2 * cosine, 0.0)) / 2
+
+
+def margin_of(x: np.ndarray, cosine: float) -> float:
+    """From the sample's widest direction: its share of all variance is that of a difference's square."""
+    if len(x) < 2:
+        return exact_margin(cosine)
+    spread = np.linalg.eigvalsh(np.cov(x, rowvar=False).reshape(x.shape[1], x.shape[1]))
+    share = spread[-1] / max(spread.sum(), 1e-300)
+    return exact_margin(cosine) * min(1.0, DEVIATIONS * 2 * math.sqrt(max(share, 0.0)))
+
+
 def _assign(centres: np.ndarray, margin: float):
     gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))
 
@@ -127,7 +146,7 @@ def _compare(cosine: float, dim: int, k: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select(col(vec_id).alias("vec_id"), col(embedding).cast("array<double>").alias("v"), col(embedding).alias("raw"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -135,17 +154,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float =
     # 128 bits of the vector name its class; a vector that can't link has none.
     keyed = rows.select("vec_id", "raw", F.when(usable, F.xxhash64("v")).alias("k1"), F.when(usable, F.xxhash64(F.lit(17), "v", F.lit("s"))).alias("k2"))
     classes = keyed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("raw").alias("v"))
-    classes = classes.withColumn("cls", F.coalesce("least", F.lit(0).cast("long")))
-    classes, _ = written(classes, "embed-classes")
+    # A class is named by its row in the written table, not by an id: ids may be null or shared.
+    classes, _ = written(classes.withColumn("cls", F.monotonically_increasing_id()), "embed-classes")
     n, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     spark = vectors.sparkSession
     if n:
-        sample = classes.select("cls", "v").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).toArrow()
+        # Hashes are even, so a threshold on them leaves some two samples' worth of rows to order.
+        below = -(2**63) + int(2**64 * min(1.0, 2 * SAMPLE / n)) - 1
+        sample = classes.filter(F.col("k1") <= below).select("k1", "k2", "v").orderBy("k1", "k2").limit(SAMPLE).toArrow()
         x = matrix(sample["v"].combine_chunks(), dim)
         k = max(1, min(MOST_CELLS, n // CELL, len(x) // 4))
         centres = spherical_kmeans(x, k)
         schema = f"cell int, cls long, copies long, home int, visits array<int>, v {classes.schema['v'].dataType.simpleString()}"
-        dealt, _ = written(classes.select("cls", "copies", "v").mapInArrow(_assign(centres, margin), schema), "embed-cells")
+        dealt, _ = written(classes.select("cls", "copies", "v").mapInArrow(_assign(centres, margin_of(x, cosine) if margin is None else margin), schema), "embed-cells")
         # Cells are as many as k, bounded by MOST_CELLS; so is this table.
         blocks = dealt.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
         placed = dealt.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
@@ -154,14 +175,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float =
         found = paired.groupBy("cell", "bi", "bj").applyInArrow(_compare(cosine, dim, k), "cls long, links long, root long")
         found, _ = written(found, "embed-links")
         links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-        roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-        classes = classes.join(links, "cls", "left").join(roots.withColumnRenamed("id", "cls"), "cls", "left")
-        per = classes.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "least").alias("root"))
+        roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cls")
+        # The least id of a component: only classes with links take part.
+        first = roots.join(classes.select("cls", "least"), "cls").groupBy("root").agg(F.min("least").alias("first"))
+        classes = classes.join(links, "cls", "left").join(roots.join(first, "root"), "cls", "left")
+        own = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("first"))
+        per = classes.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), own.alias("root"))
     else:
         per = spark.createDataFrame([], "k1 long, k2 long, n_links long, root long")
     out = keyed.drop("raw").join(per, ["k1", "k2"], "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("root"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

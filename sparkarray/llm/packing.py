@@ -3,8 +3,12 @@
 All documents, each followed by an end id, form one stream in partition order. Pass one encodes every text once and writes
 ``(part, start in part, ids)`` to the shared folder; the partitions' token totals, summed up, give each partition its
 offset in the stream. Pass two cuts the stream at fixed windows: a row's global offset is its partition's offset plus its
-own, so every window and every cut follows from two integers and no document moves between machines. Only windows that a
-partition's border cuts need to meet their other part (`boundary` records, a handful for each partition).
+own, so every window and every cut follows from two integers and no document moves between machines. Where the sequences
+themselves are wanted (``pack_sequences``), a task strings together what follows without a gap; a window that lies whole in
+its rows is done there, and only the two cut ones at the ends of a run of rows are boundary records, which meet by window.
+
+The encoding takes words apart before the tokenizer sees them. That is right for tokenizers that part letters from all else,
+lower them and drop white space; any other is found out by probes and given whole texts (``takes_pieces``).
 
 Edge cases: a null text is empty and gives the end id alone; a null doc_id stays null; repeated rows are packed each; an
 empty table gives no sequences; long texts are cut over as many windows as they need; further columns of the input are
@@ -30,6 +34,8 @@ WINDOW, END_ID = 2048, 1
 CACHE_WORDS, CACHE_LEN, AT_ONCE = 250_000, 48, 1000
 
 _known: dict[str, tuple] = {}
+#: Texts on which the ids of pieces have to be those of the whole; a tokenizer that departs is given whole texts.
+PROBES = ("Plain words, and MORE Words.", "It's (so-called) \"quoted\"...", "a1b2 3,141.59 x_y", "  two  blanks\n\nand\tlines ", "Éàß Straße naïve", "don't won't", "http://a.b/c?d=e&f", "ENDING!? word;word", "\u4e2d\u6587 caf\u00e9\u0301", "[UNK] <s> </s>", "x" * 60)
 
 
 def default_tokenizer() -> str:
@@ -61,6 +67,20 @@ def _encoder(path: str):
     return _known[path]
 
 
+def takes_pieces(path: str) -> bool:
+    """Whether this tokenizer gives a text the ids of its pieces, one after the other."""
+    key = f"{path}\0pieces"
+    if key not in _known:
+        tok = _encoder(path)[0]
+        try:
+            ok = all(np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids for t, x in zip(PROBES, _by_pieces(path, pa.array(PROBES))))
+        except Exception:  # noqa: BLE001  a model that can't take bare letters
+            ok = False
+        _known[key] = (ok,)
+        _encoder(path)[2].clear()
+    return _known[key][0]
+
+
 #: Latin letters that neither compose nor lower in more than one way, and the punctuation that may follow them.
 PLAIN = "^(?P<body>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<tail>[!-/:-@\\[-`{-~]*)$"
 
@@ -104,21 +124,28 @@ def encode_pieces(path: str, pieces: pa.Array) -> pa.Array:
     return both.take(pa.array(at))
 
 
-def encode_texts(path: str, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
-    """Ids of each text as bytes (null: none), ``end`` behind.
+def _by_pieces(path: str, part: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+    """Each distinct piece of a batch is looked up or encoded once, and Arrow strings the ids together."""
+    part = pc.split_pattern(pc.replace_substring(pc.fill_null(part, ""), "\n", " "), " ")
+    pieces = part.flatten().dictionary_encode()
+    ids = encode_pieces(path, pieces.dictionary).take(pieces.indices)
+    data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
+    ends = np.frombuffer(ids.buffers()[1], "i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "i8")
+    cuts = ends[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield b"".join((data[lo:hi], end))
 
-    For a tokenizer that drops white space the ids of a text are those of its pieces between blanks, one after the other;
-    each distinct piece of a batch is looked up or encoded once, and Arrow strings the ids together.
-    """
+
+def encode_texts(path: str, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+    """Ids of each text as bytes (null: none), ``end`` behind."""
+    whole = not takes_pieces(path)
     for at in range(0, len(texts), AT_ONCE):
-        part = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, AT_ONCE), ""), "\n", " "), " ")
-        pieces = part.flatten().dictionary_encode()
-        ids = encode_pieces(path, pieces.dictionary).take(pieces.indices)
-        data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
-        ends = np.frombuffer(ids.buffers()[1], "i8", len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, "i8")
-        cuts = ends[part.offsets.to_numpy() - part.offsets[0].as_py()].tolist()
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield b"".join((data[lo:hi], end))
+        part = texts.slice(at, AT_ONCE)
+        if whole:
+            for e in _encoder(path)[0].encode_batch_fast(pc.fill_null(part, "").to_pylist(), add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes() + end
+        else:
+            yield from _by_pieces(path, part, end)
 
 
 ENCODED = "part int, start_in_part long, doc_id long, n int, ids binary"
@@ -157,7 +184,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     return out.join(F.broadcast(spark.createDataFrame(rows, "part int, before long")), "part").withColumn("at", F.col("before") + F.col("start_in_part"))
 
 
-def _cut(window: int, keep_ids: bool):
+def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, n, at = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
@@ -176,11 +203,7 @@ def _cut(window: int, keep_ids: bool):
             pieces = [buffers[r][4 * s : 4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())]
             crc = pa.array([zlib.crc32(p) for p in pieces], pa.int64())
             arrays = [doc.take(pa.array(row)), pa.array(start), pa.array(length), crc, pa.array(n[row].astype("i8")), pa.array(seq), pa.array(lo - seq * window)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if keep_ids:
-                arrays.append(pa.array([bytes(p) for p in pieces], pa.binary()))
-                names.append("piece_ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -188,28 +211,81 @@ def _cut(window: int, keep_ids: bool):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pass two: one row for each piece of a document in a window; all windows are full but the last."""
     rows = encoded(docs, tokenizer, end_id).select("doc_id", "n", "at", "ids")
-    return rows.mapInArrow(_cut(window, keep_ids), PIECES + ", piece_ids binary" * keep_ids)
+    return rows.mapInArrow(_cut(window), PIECES)
+
+
+STRUNG = "sequence_id long, offset long, n_tokens int, ids binary, doc_starts array<long>"
+
+
+def _string(window: int):
+    """Rows (at, n, ids) in order: the windows they fill, and boundary records of those they fill in part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []  # of the window at hand: bytes, and where documents start in it
+        starts: list[int] = []
+        begin = end = None  # places of the window at hand in the stream
+        done: list[tuple] = []
+
+        def close() -> None:
+            nonlocal begin
+            if parts:
+                done.append((begin // window, begin % window, end - begin, b"".join(parts), starts.copy()))
+            parts.clear()
+            starts.clear()
+            begin = end
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*done)) or [[]] * 5
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], ["sequence_id", "offset", "n_tokens", "ids", "doc_starts"])
+
+        for b in batches:
+            for at, n, ids in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if at != end:
+                    close()
+                    begin = end = at
+                data, lo = memoryview(ids), 0
+                while lo < n:
+                    take = min(n - lo, window - end % window)
+                    starts.append(end % window)
+                    parts.append(data[4 * lo : 4 * (lo + take)])
+                    lo, end = lo + take, end + take
+                    if end % window == 0:
+                        close()
+            yield out()
+        close()
+        yield out()
+
+    return run
 
 
 def pack_sequences(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The sequences themselves: sequence_id, n_tokens, input_ids, doc_starts (offsets at which a document's piece begins).
 
-    A group is one window: at most ``window`` ids, so no key grows.
+    Rows come in the order of the stream within a task's share of a file; only windows that such a share cuts are shuffled,
+    and each is one window of ``window`` ids at most, so no key grows.
     """
-    pieces = pack_pieces(docs, window, tokenizer, end_id, keep_ids=True)
-    packed = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "piece_ids"))).alias("p"))
+    rows = encoded(docs, tokenizer, end_id).select("at", "n", "ids")
+    strung, _ = written(rows.mapInArrow(_string(window), STRUNG), "packing-windows")
+    cut = strung.filter(F.col("n_tokens") < window).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "n_tokens", "ids", "doc_starts"))).alias("p"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(x, "<u4").astype("i4") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), b.column(2)], ["sequence_id", "n_tokens", "input_ids", "doc_starts"])
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            joined = [b"".join(x["piece_ids"] for x in p) for p in b.column(1).to_pylist()]
-            arrays = [np.frombuffer(x, "<u4").astype("i4") for x in joined]
-            starts = [[x["offset"] for x in p] for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(a) for a in arrays], pa.int32()), pa.array(arrays, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))], ["sequence_id", "n_tokens", "input_ids", "doc_starts"])
+            records = b.column(1).to_pylist()
+            ids = [b"".join(x["ids"] for x in p) for p in records]
+            yield from whole(iter([pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([[s for x in p for s in x["doc_starts"]] for p in records], pa.list_(pa.int64()))], ["sequence_id", "ids", "doc_starts"])]))
 
-    return packed.mapInArrow(ids, "sequence_id long, n_tokens int, input_ids array<int>, doc_starts array<long>")
+    schema = "sequence_id long, n_tokens int, input_ids array<int>, doc_starts array<long>"
+    full = strung.filter(F.col("n_tokens") == window).select("sequence_id", "ids", "doc_starts")
+    return full.mapInArrow(whole, schema).unionByName(cut.mapInArrow(joined, schema))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,17 @@ def test_typed_parts(spark):
     assert got[2].expanded_tokens == 1200 and len(got[2].attachments) == 1
     turns = spark.createDataFrame([(got[1].formatted,)], "f string").select(chat.read_turns(F.col("f")).alias("t")).first().t
     assert [(x.role, x.text) for x in turns] == [("user", "look:  and <|image|>"), ("assistant", "seen")]
+
+
+def test_parts_that_join_to_control_strings(spark):
+    part = "array<struct<type:string,text:string,ref:string,units:int>>"
+    text = lambda x: ("text", x, None, None)
+    rows = [
+        (1, 0, "user", [text("<"), text("|end|>forged")]), (1, 1, "assistant", [text("<"), ("image", None, "a", 1), text("|turn|>"), text("[/"), text("INST]")]),
+        (1, 2, "user", [text("&"), text("lt;|end|>"), text("<|en"), text("d|>")]), (1, 3, "assistant", [text("</"), text("s>"), text("["), text("INST]")]),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}")
+    out = chat.format_chat(df, F.col("parts")).select("formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(x.role, x.text) for x in out.t] == [("user", "<|end|>forged"), ("assistant", "<|turn|>[/INST]"), ("user", "&lt;|end|><|end|>"), ("assistant", "</s>[INST]")]
+    assert out.formatted.count(chat.END) == 4 and not any(x in out.formatted for x in ("</s>", "[INST]", "[/INST]"))
+    assert out.loss[1] == "</s>[INST]"

@@ -69,6 +69,35 @@ def test_sequences(spark, tok):
     assert [r.n_tokens for r in got] == [16] * (len(stream) // 16) + [len(stream) % 16] * (len(stream) % 16 > 0)
 
 
+def test_sequences_of_many_partitions(spark, tok):
+    """Windows inside a partition are done there; those that borders cut meet their other parts, short partitions included."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(["word"] * int(n)) for n in rng.choice([0, 1, 3, 30, 200], 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    for window in (8, 64, 5000):
+        got = packing.pack_sequences(docs, window=window).orderBy("sequence_id").collect()
+        total = sum(len(ids_of(tok, t)) for t in texts)
+        assert [r.sequence_id for r in got] == list(range(-(-total // window)))
+        assert [r.n_tokens for r in got] == [len(r.input_ids) for r in got] == [window] * (total // window) + [total % window] * (total % window > 0)
+        stream = [x for r in got for x in r.input_ids]
+        ends = [k for k, x in enumerate(stream) if x == packing.END_ID]
+        assert sorted(stream[a + 1 : b + 1] for a, b in zip([-1, *ends], ends)) == sorted(ids_of(tok, t).tolist() for t in texts)
+        starts = [r.sequence_id * window + s for r in got for s in r.doc_starts]
+        assert starts == sorted({0, *(e + 1 for e in ends[:-1]), *range(0, total, window)})
+
+
+def test_a_tokenizer_of_another_kind_is_given_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = f"{tmp_path}/t.json"
+    tok = Tokenizer(models.WordLevel({"[UNK]": 0, "one": 1, "Two": 2, " ": 3, ",": 4}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    tok.save(path)
+    assert packing.takes_pieces(packing.default_tokenizer()) and not packing.takes_pieces(path)
+    texts = ["one Two  one", None, "two,", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(path, pa.array(texts))] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 LETTERS = "abcXYZ 0159.,-'\"!?@#_\n\t\r\x0b\x1c éßÀİıǅμ中文한ё́​﻿\U0001f600<>|/s[]INSTpadukmask"
 
 

@@ -36,44 +36,45 @@ def base(text):
     return [(kind, m.start(), m.end(), m[0]) for kind, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(kind, m[0])]
 
 
-def near(text, spans):
-    out = []
-    for _, start, end, entity in spans:
-        lo = max(start - pii.NEAR_CHARS, 0)
-        left = [(m.start() + lo, m.end() + lo) for m in re.finditer(r"[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D])", text[lo:start])] if text[start - 1 : start] in [*" \t\n\r\x0b\x0c"] else []
-        after = text[end : end + pii.NEAR_CHARS]
-        lead = re.match(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+", after)
-        right = [(m.start() + end, m.end() + end) for m in re.finditer(r"[^\x20\x09-\x0D]+", after) if lead and m.start() >= lead.end()]
-        out += [(entity, text[a:b].lower(), a, b) for a, b in left[-pii.NEAR :] + right[: pii.NEAR]]
-    return out
+def split(text):
+    return re.split(r"[\x20\x09-\x0D]+", text.lower())
+
+
+def others(text, spans):
+    """The words that no span touches."""
+    out, at = "", 0
+    for a, b in sorted((a, b) for _, a, b, _ in spans):
+        if a >= at:
+            out += text[at:a] + "\0"
+        at = max(at, b)
+    return {w for w in split(out + text[at:]) if w and "\0" not in w}
 
 
 def added(texts):
     """For each text the spans that the method adds."""
     n = len(texts)
     spans = [base(t) for t in texts]
-    found = [near(t or "", s) for t, s in zip(texts, spans)]
     n_entity, n_term, n_both, support = Counter(), Counter(), Counter(), defaultdict(set)
-    for t, f in zip(texts, found):
-        n_term.update(set(re.split(r"[\x20\x09-\x0D]+", (t or "").lower())))
-        n_entity.update({e for e, *_ in f})
-        both = {(e, w) for e, w, *_ in f}
-        n_both.update(both)
-        for x in both:
+    for t, s in zip(texts, spans):
+        n_term.update(set(split(t or "")))
+        own = {e for *_, e in s}
+        n_entity.update(own)
+        for x in ((e, w) for e in own for w in others(t, s)):
+            n_both[x] += 1
             support[x].add(t)
-    share = {}
+    strong = set()
     for (e, w), c in n_both.items():
-        if len(support[e, w]) >= pii.SUPPORT and n > n_entity[e]:
-            share[e, w] = math.log2(c * n / (n_entity[e] * n_term[w])) / math.log2(n / n_entity[e])
+        if len(support[e, w]) >= pii.SUPPORT and n > n_entity[e] and math.log2(c * n / (n_entity[e] * n_term[w])) / math.log2(n / n_entity[e]) >= pii.DISCLOSURE:
+            strong.add(w)
     kind = lambda w: "general" if n_term[w] / n > pii.COMMON else "term"
-    return [sorted({(kind(w), a, b) for e, w, a, b in f if share.get((e, w), 0) >= pii.DISCLOSURE}) for f in found]
+    return [sorted((kind(m[0].lower()), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if m[0].lower() in strong) for t in texts]
 
 
 def redacted(texts):
     out = []
     for t, more in zip(texts, added(texts)):
         spans = base(t)
-        if not spans:
+        if not spans and not more:
             out.append(t)
             continue
         new, at = "", 0
@@ -90,6 +91,9 @@ def planted() -> list[str]:
     out = [f"{prose(rng, 12)} agent Zorba{k % 3} mail zorba{k % 3}@example.com today {prose(rng, 9)}" for k in range(30)]
     out += [f"{prose(rng, 20)} call +44 20 7946 09{k:02d} now {prose(rng, 5)}" for k in range(6)]
     out += ["a@b.c", "a@b", "x@@y.z a.b@c-d.e.f@g.h", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111000", "+1 (234) 567-8901) +12 +1234567890123456 +1+23456789", "é\U0001f600 a@b.cc 10.0.0.1"]
+    # Terms far from what they give away, in other places of the text, in texts without any match, in other cases, next to signs.
+    out += [f"Quorn{k % 2}.\\E {prose(rng, 60)} {k}@quorn{k % 2}.org q{k % 2}@all.org {prose(rng, 40)} QUORN{k % 2}.\\e" for k in range(8)]
+    out += ["only quorn0.\\e here, no match", "quorn1.\\Ex quorn1.\\E (quorn1.\\E)", "the agent zorba1 himself"]
     out += ["a" * 20_000 + " @ b@c.d", "1" * 20_000 + " 1.2.3.4", "12 " * 9000 + "4111111111111111", "a@b" + ".c" * 9000, "+1" + "(" * 9000, None, "", *["w@x.yz same words here"] * 4]
     return out
 
@@ -123,6 +127,19 @@ def test_planted(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), f"{tmp_path}/documents.parquet")
     more = held(spark, str(tmp_path))
     assert all(any(texts[k][a:b].startswith("Zorba") for _, a, b in more[k]) for k in range(30))
+    words = [[texts[k][a:b] for _, a, b in more[k]] for k in range(len(texts))]
+    first = next(k for k, t in enumerate(texts) if t and t.startswith("Quorn"))
+    assert all(sum(w.lower() == f"quorn{k % 2}.\\e" for w in words[first + k]) == 2 for k in range(8))
+    assert words[first + 8 : first + 11] == [["quorn0.\\e"], ["quorn1.\\E"], ["zorba1"]]
+
+
+def test_shuffled_instead_of_broadcast(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    texts = planted()
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), f"{tmp_path}/documents.parquet")
+    held(spark, str(tmp_path))
 
 
 def test_redact(spark, tmp_path):

@@ -61,6 +61,26 @@ def test_periodic_texts_that_differ_in_the_middle(spark):
     against(spark, texts)
 
 
+def test_a_shared_and_a_different_middle(spark):
+    """A long ruled text around a word that all have and one that differs: the latter stays."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 20))
+    for _ in range(3):
+        shared = word()
+        against(spark, [")" * 100 + shared + ")" * 100 + shared + ")" * 100 + own + ")" * 100 + shared + ")" * 100 + shared + ")" * 100 for own in (word(), word())])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ruled_and_periodic_texts(spark, seed):
+    """Rules, padding, tables and repeated lines with odd bytes in them, cut and joined at random."""
+    rng = np.random.default_rng(100 + seed)
+    pick = lambda x: x[int(rng.integers(0, len(x)))]
+    parts = ["-" * 80 + "\n", "| a | b |\n", " " * 150, "=" * 37, "ab" * 70, "x", "é" * 40, "line of text\n" * 9, "".join(chr(97 + x) for x in rng.integers(0, 26, 90)), "0" * 210]
+    texts = ["".join(pick(parts) for _ in range(int(rng.integers(4, 40)))) for _ in range(25)]
+    texts += [t[: int(rng.integers(1, len(t)))] + "!" + t[int(rng.integers(0, len(t))) :] for t in texts]
+    against(spark, texts)
+
+
 @pytest.mark.parametrize("period, seed", [(40, 1), (61, 4), (100, 3)])
 def test_runs_have_one_hash_for_one_text_only(period, seed):
     """Two texts of which a byte differs: a run's name, hash and length tell all its bytes."""
