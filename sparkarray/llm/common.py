@@ -82,6 +82,25 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: A key with more rows than this is hot; its rows don't move for a join with a table that has each key once.
+HOT_ROWS = 10_000
+#: Hot keys are broadcast up to so many.
+MOST_HOT = 200_000
+
+
+def joined(rows: DataFrame, table: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each key once and in column ``n`` the number of rows with it.
+
+    Hot keys are joined by broadcast (they are counted first), all others by a shuffle that the hot rows take no part in.
+    """
+    hot, _ = written(table.filter(F.col(n) > HOT_ROWS).drop(n), "hot-keys")
+    k = hot.count()
+    if not 0 < k <= MOST_HOT:
+        return rows.join(table.drop(n), on, how)
+    cold = table.filter(F.col(n) <= HOT_ROWS).drop(n)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` does not use (case apart)."""
     have = {c.lower() for c in df.columns}

@@ -7,9 +7,9 @@ the same for every document; a document sees those below its weights and below r
 documents agree on a coordinate with the probability of their weighted Jaccard similarity. Bands of ``ROWS`` coordinates are
 the join keys (a band with a coordinate that no dart hit is silent).
 
-Equal texts are one class from the start. In each band bucket all members are first compared with the least one; what that
-leaves apart is compared in full, block by block, signatures first and then shingles, and only spanning links leave a task.
-No pairs of a group are emitted, none are left out. Similarity is computed from the whole weighted shingle sets (32-bit
+Equal texts are one class from the start. In each band bucket all members are first compared with the least one, whose
+shingles go once to some hundreds of members; what that leaves apart is compared in full, block by block, signatures first
+and then shingles, and only spanning links leave a task. No pairs of a group are emitted, none are left out. Similarity is computed from the whole weighted shingle sets (32-bit
 hashes); links at ``SIMILARITY`` or more join components, of which the least doc_id is kept.
 
 Edge cases: null or word-less texts are near nothing but equal texts (all of these are equal); texts of under five words
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkarray.llm.common import col, cols, drop_table, free_name, recorded, release, table, written
+from sparkarray.llm.common import col, cols, drop_table, free_name, joined, recorded, release, table, written
 from sparkarray.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -34,6 +34,8 @@ K, ROWS, DARTS = 96, 4, 384
 BANDS = K // ROWS
 #: Signatures this far below the similarity (four standard errors) are not worth an exact look.
 SLACK, BLOCK, AT_ONCE = 0.165, 512, 400
+#: Pairs of leaders and members that a task compares at once.
+GROUP = 2000
 BROADCAST_ROWS = 200_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -146,18 +148,28 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(key[row, band].view("i8"))], ["cls", "bucket"])
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays of unit names."""
-    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) and len(b) else 0
-    return both / max(len(a) + len(b) - both, 1)
-
-
-def _verify(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [weighted_jaccard(np.frombuffer(x, "u4"), np.frombuffer(y, "u4")) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            keep = np.array(good, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+def _stars(similarity: float):
+    def run(key: tuple[pa.Scalar, ...], pairs: pa.Table, leaders: pa.Table) -> pa.Table:
+        """Links of leaders to members; pairs: g, a, b, units of b; leaders: h, leader, set, each once."""
+        a = pairs["a"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        sets = [np.frombuffer(x, "u4") for x in pairs["units"].to_pylist()]
+        own = dict(zip(leaders["leader"].to_pylist(), (np.frombuffer(x, "u4") for x in leaders["set"].to_pylist())))
+        n = np.array([len(x) for x in sets], "i8")
+        good = np.zeros(len(a), bool)
+        cuts = np.flatnonzero(np.diff(a[order], prepend=a[order[0]] - 1)) if len(a) else []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(a))):
+            u = own[int(a[order[lo]])]
+            js = order[lo:hi]
+            js = js[(np.minimum(n[js], len(u)) >= similarity * np.maximum(n[js], len(u))) & (n[js] > 0)]
+            for k in range(0, len(js), AT_ONCE):
+                some = js[k : k + AT_ONCE]
+                flat = np.concatenate([sets[j] for j in some])
+                hit = u[np.minimum(np.searchsorted(u, flat), len(u) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype="i8")
+                good[some] = both >= similarity * (n[some] + len(u) - both)
+        keep = pa.array(good)
+        return pa.table({"a": pairs["a"].filter(keep), "b": pairs["b"].filter(keep)})
 
     return run
 
@@ -217,7 +229,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     k1, k2 = text_key(col("text"))
     signed = docs.select(col("doc_id").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), col("text").alias("text")).mapInArrow(_sign, SIGNED)
     signed, _ = written(signed.withColumn("rid", F.monotonically_increasing_id()), "minhash-signed")
-    classes = signed.groupBy("k1", "k2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("class_id"), F.any_value("sig").alias("sig"))
+    classes = signed.groupBy("k1", "k2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("class_id"), F.any_value("sig").alias("sig"), F.count("*").alias("copies"), F.min_by("rid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first"))
     classes, _ = written(classes, "minhash-classes")
     buckets = classes.select("cls", "sig").mapInArrow(_band_keys, "cls long, bucket long")
     least = buckets.groupBy("bucket").agg(F.min("cls").alias("leader"), F.count("*").alias("m")).filter("m > 1").select("bucket", "leader")
@@ -226,8 +238,18 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets, _ = written(signed.select(F.col("rid").alias("cls"), "sig", "units").join(small, "cls"), "minhash-sets")
     pairs = members.filter("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    left, right = (sets.select(F.col("cls").alias(x), F.col("units").alias(f"u{x}")) for x in "ab")
-    stars, _ = written(pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(_verify(similarity), "a long, b long"), "minhash-links")
+    pairs, _ = written(pairs, "minhash-pairs")
+    # A leader's set goes once to each group of some hundred members; leaders of very many have several groups.
+    many = pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts"))
+    many, _ = written(many, "minhash-leaders")
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    n_groups = max(1, pairs.count() // GROUP)
+    group = lambda salt: F.pmod(F.xxhash64("a", salt), F.lit(n_groups)).alias("g")
+    salted = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
+    members_ = salted.join(sets.select(F.col("cls").alias("b"), "units"), "b").select(group(F.col("salt")), "a", "b", "units")
+    leaders = pairs.select("a").distinct().join(many, "a", "left").join(sets.select(F.col("cls").alias("a"), "units"), "a")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select(group(F.col("salt")).alias("h"), F.col("a").alias("leader"), F.col("units").alias("set")).dropDuplicates(["h", "leader"])
+    stars, _ = written(members_.groupBy("g").cogroup(leaders.groupBy("h")).applyInArrow(_stars(similarity), "a long, b long"), "minhash-links")
     # Members by the least that they are linked to, followed once: enough to tell most buckets whole.
     low = stars.groupBy("b").agg(F.min("a").alias("a"))
     low = low.join(low.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.col("b").alias("cls"), F.coalesce("up", "a").alias("root"))
@@ -240,15 +262,14 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more, _ = written(dealt.groupBy("bucket", "bi", "bj").applyInArrow(_compare(similarity), "a long, b long"), "minhash-links")
     comps = components(stars.unionByName(more))
     drop_table(docs.sparkSession, members_path)
-    slim = classes.select("k1", "k2", "cls", "class_id").join(comps.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    slim = classes.select("k1", "k2", "cls", "class_id", "copies", "first").join(comps.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     slim, _ = written(slim, "minhash-components")
     best = slim.groupBy("root").agg(F.min(F.struct(F.coalesce("class_id", F.lit(2**63 - 1)).alias("d"), "class_id", "cls")).alias("b")).select("root", F.col("b.class_id").alias("component_id"), F.col("b.cls").alias("best"))
-    slim = slim.join(best, "root").select("k1", "k2", "class_id", "component_id", (F.col("cls") == F.col("best")).alias("best"))
-    rows = signed.select("rid", "doc_id", "k1", "k2").join(slim, ["k1", "k2"])
     # Of the best class, the first row with the least doc_id is kept.
-    one = signed.select("rid", "doc_id", "k1", "k2").groupBy("k1", "k2").agg(F.min_by("rid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first"))
-    rows = rows.join(one, ["k1", "k2"])
-    return rows.select("rid", "doc_id", "k1", "k2", "class_id", "component_id", (F.col("best") & (F.col("rid") == F.col("first"))).alias("kept"))
+    slim = slim.join(best, "root").select("k1", "k2", "class_id", "component_id", F.when(F.col("cls") == F.col("best"), F.col("first")).alias("first"), "copies")
+    slim, _ = written(slim, "minhash-outcome")
+    rows = joined(signed.select("rid", "doc_id", "k1", "k2"), slim, ["k1", "k2"], "copies")
+    return rows.select("rid", "doc_id", "k1", "k2", "class_id", "component_id", F.coalesce(F.col("rid") == F.col("first"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
