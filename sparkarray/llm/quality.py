@@ -6,11 +6,17 @@ lines and repeated words), in fixed point so that all sums are exact and the sam
 source, concentration steps look for the ``SHARE`` of documents whose covariance has the least determinant: a step groups
 documents by the bin of their squared Mahalanobis distance, with counts and cross sums for each bin, and running sums over
 the bins of a group give the next centre and covariance. A group is never sorted or gathered; what meets in a window is a
-few hundred bins. Several seeded starts run side by side and the least determinant wins. A document is rejected when its
-distance from the robust centre exceeds ``CUTOFF``; groups under ``LEAST`` documents fall back to their language, and
-languages under it reject nothing.
+few hundred bins. The search begins with all documents and with ``STARTS`` seeded random subsets of some ``FIRST`` documents
+each, small enough that some hold none of a cluster of outliers; after ``EARLY`` steps the ``BEST`` of them go on until no
+determinant falls any more (``MOST`` steps at most), and the least wins. As is usual the estimate is then reweighted: centre
+and covariance come anew from all documents within ``NEAR`` of it. A document is rejected when its distance exceeds
+``CUTOFF``; groups under ``LEAST`` documents fall back to their language, and languages under it reject nothing.
 
-Edge cases: a null or empty text has no words and fails the base rules; null language or source is a group of its own;
+Covariances have the squares of ``FLOOR`` added, so that a statistic that is zero in most texts of a group does not reject
+all others. A text with half of its lines or a third of its words repeated, or with an eighth of its characters symbols, lies
+beyond the cutoff by that statistic alone in a group where it is usually zero.
+
+Edge cases: a null or empty text has no words and fails the base rules; null language or source counts as empty;
 repeated rows count each; an empty table gives no rows; very long texts are treated whole; further columns are ignored.
 """
 
@@ -22,11 +28,13 @@ from pyspark.sql import functions as F
 
 from sparkarray.llm.common import WORD, ascii_words, col, cols, table, written
 
-SHARE, STEPS, STARTS, LEAST = 0.75, 3, 3, 40
-#: Chi-square with 4 degrees of freedom at 0.999999, times the consistency factor of a 0.75 subset.
-CUTOFF = 33.4 * 1.486
+SHARE, STARTS, FIRST, EARLY, BEST, MOST, LEAST = 0.75, 8, 8, 2, 2, 6, 40
+#: Chi-square with 4 degrees of freedom at 0.975 and 0.999999, times the consistency factors of a 0.75 and a 0.975 subset.
+NEAR, CUTOFF = 11.143 * 1.486, 33.4 * 1.0645
 #: One unit of a statistic in fixed point, and the least standard deviations.
-UNIT, FLOOR = 1024, (0.03, 0.05, 0.15, 0.15)
+UNIT, FLOOR = 1024, (0.035, 0.06, 0.12, 0.1)
+#: Random subsets: documents whose seed, times a number of the start, leaves little modulo a prime.
+PRIME, TIMES = 1_000_003, (0, 611_953, 224_737, 350_377, 86_028, 999_331, 479_909, 715_225, 15_485)
 BROADCAST_GROUPS = 50_000
 X = ("x1", "x2", "x3", "x4")
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
@@ -117,32 +125,54 @@ def _sums() -> list[Column]:
     ]
 
 
+def _grouped(rows: DataFrame, key: list[str]) -> DataFrame:
+    return _layers(rows.groupBy(*key).agg(*_sums()), _fit()).select(*key, *_PARAMS)
+
+
+def _step(both: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    """The next parameters of every group and start."""
+    key = ["lang", "source", "start"]
+    far = _layers(_same(both, F.broadcast(params) if few else params, key[:2]), _distance())
+    far = far.withColumn("q", F.expr(_Q)).withColumn("len", F.length(F.bin("q")))
+    far = far.withColumn("bin", F.when(F.col("q") < 16, F.col("q")).otherwise(F.col("len").cast("long") * 16 + F.expr("shiftright(q, len - 5)").bitwiseAND(15)))
+    bins = far.groupBy(*key, "bin").agg(*_sums())
+    by = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    upto = bins.select(*key, "bin", *[F.sum(c).over(by).alias(c) for c in _SUMS], F.sum("n").over(W.partitionBy(*key)).alias("all"))
+    chosen = upto.filter(F.col("n") >= F.col("all") * SHARE).groupBy(*key).agg(F.min_by(F.struct(*_SUMS), "bin").alias("s")).select(*key, "s.*")
+    return _layers(chosen, _fit()).select(*key, *_PARAMS)
+
+
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """stats: lang, source, seed (long), x1..x4 of documents that pass the base rules. Gives a row of parameters for each group.
 
     A group is (lang, source) or, with source null, a language.
     """
+    group, key = ["lang", "source"], ["lang", "source", "start"]
     both = stats.withColumn("source", F.explode(F.array(F.col("source"), F.lit(None).cast("string"))))
-    both = both.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
-    key = ["lang", "source", "start"]
-    first = both.filter((F.col("start") == 0) | (F.pmod(F.col("seed"), F.lit(STARTS - 1)) == F.col("start") - 1))
-    params, _ = written(_layers(first.groupBy(*key).agg(*_sums()), _fit()).select(*key, *_PARAMS), "quality-fit")
-    n_groups = params.count()
-    by = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    for _ in range(STEPS):
-        small = F.broadcast(params) if n_groups <= BROADCAST_GROUPS else params
-        far = _layers(_same(both, small, key), _distance())
-        far = far.withColumn("q", F.expr(_Q)).withColumn("len", F.length(F.bin("q")))
-        far = far.withColumn("bin", F.when(F.col("q") < 16, F.col("q")).otherwise(F.col("len").cast("long") * 16 + F.expr("shiftright(q, len - 5)").bitwiseAND(15)))
-        bins = far.groupBy(*key, "bin").agg(*_sums())
-        upto = bins.select(*key, "bin", *[F.sum(c).over(by).alias(c) for c in _SUMS], F.sum("n").over(W.partitionBy(*key)).alias("all"))
-        enough = upto.filter(F.col("n") >= F.col("all") * SHARE)
-        chosen = enough.groupBy(*key).agg(F.min_by(F.struct(*_SUMS), "bin").alias("s")).select(*key, "s.*")
-        params, _ = written(_layers(chosen, _fit()).select(*key, *_PARAMS), "quality-fit")
-    size = both.filter("start = 0").groupBy("lang", "source").agg(F.count("*").alias("docs"))
-    best = params.groupBy("lang", "source").agg(F.min_by(F.struct(*_PARAMS), F.struct("det", "start")).alias("p"))
-    best = _same(best.select("lang", "source", "p.*"), size, ["lang", "source"]).filter(F.col("docs") >= LEAST)
-    return written(best, "quality-fit")[0], n_groups
+    size, _ = written(both.groupBy(*group).agg(F.count("*").alias("docs")), "quality-groups")
+    n_groups = size.count()
+    few = n_groups * (STARTS + 1) <= BROADCAST_GROUPS
+    sized = _same(both, F.broadcast(size) if few else size, group)
+    # A row is made for the starts that have it only: of random ones a few rows in all.
+    left = lambda k: F.pmod(F.pmod(F.col("seed"), F.lit(PRIME)) * F.lit(TIMES[k]).cast("long") + 7919 * k, F.lit(PRIME))
+    has = [F.when(left(k) * F.col("docs") < FIRST * PRIME, F.lit(k)) for k in range(1, STARTS + 1)]
+    starts = F.array_compact(F.array(F.lit(0), *has))
+    params, _ = written(_grouped(sized.withColumn("start", F.explode(starts)), key), "quality-fit")
+    for _ in range(EARLY):
+        params, _ = written(_step(both, params, few), "quality-fit")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy("det", "start"))
+    params, _ = written(params.withColumn("rank", rank).filter(F.col("rank") <= BEST).drop("rank"), "quality-fit")
+    for _ in range(MOST):
+        new = _step(both, params, few).select(*key, F.struct(*_PARAMS).alias("new"))
+        pair = _same(params.select(*key, F.struct(*_PARAMS).alias("old")), new, key)
+        pair, _ = written(pair.withColumn("less", F.col("new.det") < F.col("old.det")), "quality-fit")
+        params = pair.select(*key, F.when(F.col("less"), F.col("new")).otherwise(F.col("old")).alias("p")).select(*key, "p.*")
+        if not pair.filter("less").limit(1).count():
+            break
+    best = params.groupBy(*group).agg(F.min_by(F.struct(*_PARAMS), F.struct("det", "start")).alias("p")).select(*group, "p.*")
+    near = _layers(_same(both, F.broadcast(best) if few else best, group), _distance()).filter(F.col("d2") <= NEAR)
+    final = _same(_grouped(near.select(*group, *X), group), size, group).filter(F.col("docs") >= LEAST)
+    return written(final, "quality-fit")[0], n_groups
 
 
 def _same(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
@@ -218,38 +248,50 @@ def _nest(src: str, new: dict[str, str]) -> str:
 def _oracle() -> str:
     sums = ["count(*) AS n", *(f"CAST(sum({x}) AS BIGINT) AS s{i + 1}" for i, x in enumerate(X)), *(f"CAST(sum({X[i]} * {X[j]}) AS BIGINT) AS q{i}{j}" for i, j in PAIRS)]
     params = ", ".join(_PARAMS)
-    steps = []
-    for k in range(STEPS):
-        far = _nest(f"(SELECT b.*, p.* EXCLUDE (lang, source, start) FROM b JOIN p{k} p ON b.lang = p.lang AND b.source IS NOT DISTINCT FROM p.source AND b.start = p.start)", _distance() | {"q": _Q})
-        steps.append(f"""
+    def step(k: int, p: str) -> str:
+        far = _nest(f"(SELECT b.*, p.* EXCLUDE (lang, source) FROM b JOIN {p} p ON b.lang = p.lang AND b.source IS NOT DISTINCT FROM p.source)", _distance() | {"q": _Q})
+        return f"""
 f{k} AS (SELECT *, CASE WHEN q < 16 THEN q ELSE length(bin(q)) * 16 + ((q >> (length(bin(q)) - 5)) & 15) END AS bin FROM {far}),
 h{k} AS (SELECT lang, source, start, bin, {', '.join(sums)} FROM f{k} GROUP BY lang, source, start, bin),
 u{k} AS (SELECT lang, source, start, bin, {', '.join(f'CAST(sum({c}) OVER w AS BIGINT) AS {c}' for c in _SUMS)}, sum(n) OVER (PARTITION BY lang, source, start) AS al
          FROM h{k} WINDOW w AS (PARTITION BY lang, source, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e{k} AS (SELECT * FROM u{k} WHERE n >= al * {SHARE} QUALIFY row_number() OVER (PARTITION BY lang, source, start ORDER BY bin) = 1),
-p{k + 1} AS MATERIALIZED (SELECT lang, source, start, {params} FROM {_nest(f'e{k}', _fit())})""")
+n{k} AS MATERIALIZED (SELECT lang, source, start, {params} FROM {_nest(f'e{k}', _fit())})"""
+
+    steps, at = [], "p0"
+    for k in range(EARLY):
+        steps.append(step(k, at))
+        at = f"n{k}"
+    steps.append(f"g{EARLY} AS MATERIALIZED (SELECT * FROM {at} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY det, start) <= {BEST})")
+    for k in range(EARLY, EARLY + MOST):
+        steps.append(step(k, f"g{k}"))
+        steps.append(f"g{k + 1} AS MATERIALIZED (SELECT o.lang, o.source, o.start, {', '.join(f'CASE WHEN n.det < o.det THEN n.{x} ELSE o.{x} END AS {x}' for x in _PARAMS)} FROM g{k} o JOIN n{k} n ON o.lang = n.lang AND o.source IS NOT DISTINCT FROM n.source AND o.start = n.start)")
+    times = "[" + ", ".join(map(str, TIMES)) + "]"
+    near = _nest("(SELECT b.*, p.* EXCLUDE (lang, source, start) FROM b JOIN won p ON b.lang = p.lang AND b.source IS NOT DISTINCT FROM p.source)", _distance())
     vector = _nest("c", _vector())
-    first = f"(SELECT lang, source, start, {', '.join(sums)} FROM b WHERE start = 0 OR seed % {STARTS - 1} = start - 1 GROUP BY lang, source, start)"
+    first = f"""(SELECT b.lang, b.source, start, {', '.join(sums)} FROM b JOIN size ON b.lang = size.lang AND b.source IS NOT DISTINCT FROM size.source, range(0, {STARTS + 1}) s(start)
+      WHERE start = 0 OR (((seed % {PRIME} + {PRIME}) % {PRIME} * {times}[start + 1] + 7919 * start) % {PRIME}) * docs < {FIRST * PRIME} GROUP BY ALL)"""
     pick = lambda level: f"(SELECT lang, {'source, ' if level else ''}{params} FROM best WHERE source IS {'NOT ' if level else ''}NULL)"
     far = _nest(f"(SELECT v.*, {', '.join(f'coalesce(o.{p}, w.{p}) AS {p}' for p in _PARAMS)} FROM {vector} v LEFT JOIN {pick(1)} o USING (lang, source) LEFT JOIN {pick(0)} w USING (lang))", _distance())
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
-g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
-r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
-cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
+gr AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+rw AS (SELECT rid, i FROM gr QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rw) GROUP BY rid),
 ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
 c0 AS (SELECT rid, doc_id, lang, source, coalesce(doc_id, 0) AS seed, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
        FROM d JOIN ln USING (rid) LEFT JOIN cov USING (rid)),
 c AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c0),
-b AS MATERIALIZED (SELECT lang, unnest([source, NULL]) AS source, start, seed, {', '.join(X)} FROM {vector}, range(0, {STARTS}) s(start) WHERE NOT base_failed),
+b AS MATERIALIZED (SELECT lang, unnest([source, NULL]) AS source, seed, {', '.join(X)} FROM {vector} WHERE NOT base_failed),
+size AS MATERIALIZED (SELECT lang, source, count(*) AS docs FROM b GROUP BY lang, source),
 p0 AS MATERIALIZED (SELECT lang, source, start, {params} FROM {_nest(first, _fit())}),
 {','.join(s.strip() for s in steps)},
-size AS (SELECT lang, source, count(*) AS docs FROM b WHERE start = 0 GROUP BY lang, source),
-best AS MATERIALIZED (SELECT p.* FROM p{STEPS} p JOIN size s ON p.lang = s.lang AND p.source IS NOT DISTINCT FROM s.source WHERE docs >= {LEAST}
-         QUALIFY row_number() OVER (PARTITION BY p.lang, p.source ORDER BY det, start) = 1)
+won AS MATERIALIZED (SELECT * FROM g{EARLY + MOST} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY det, start) = 1),
+r AS (SELECT lang, source, {', '.join(sums)} FROM {near} WHERE d2 <= {NEAR} GROUP BY lang, source),
+best AS MATERIALIZED (SELECT p.* FROM (SELECT lang, source, {params} FROM {_nest('r', _fit())}) p JOIN size s ON p.lang = s.lang AND p.source IS NOT DISTINCT FROM s.source WHERE docs >= {LEAST})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept FROM {far}"""
 
 
