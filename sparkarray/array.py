@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,18 @@ from sparkarray.session import cut
 
 #: A side of a broadcasting join is hinted small up to so many cells; beyond it Spark decides by its own sizes.
 BROADCAST_CELLS = 200_000
+#: Uses of its origin's cells, at most twofold a step, up to which an elementwise expression is kept as one.
+MOST_WEIGHT = 256
+#: Bytes that the driver takes as one NumPy array.
+DRIVER_BYTES = 4_000_000_000
+
+#: Counters of those who watch how arrays are used (plans/doctor.py).
+watchers: list = []
+
+
+def note(kind: str) -> None:
+    for w in watchers:
+        w(kind)
 
 
 def axes(n: int) -> list[str]:
@@ -37,11 +51,28 @@ def norm_axis(axis: int, ndim: int) -> int:
 
 
 class SparkArray:
-    """A dense array. Index columns are long and count from 0 in each axis."""
+    """A dense array. Index columns are long and count from 0 in each axis.
+
+    Elementwise steps keep what they come from, so that operands with one origin need no join: ``made`` gives a cell as an
+    expression of its coordinates (ranges, constants, random draws), ``origin`` is a DataFrame and an expression over its rows.
+    """
 
-    def __init__(self, df: DataFrame, shape: Sequence[int]):
+    def __init__(self, df: DataFrame, shape: Sequence[int], made: Callable[..., Column] | None = None, origin: tuple[DataFrame, Column] | None = None, weight: int = 1):
         self.shape = tuple(int(s) for s in shape)
         self.df = df.select(*axes(len(self.shape)), "v")
+        # An expression that may have grown large becomes an origin of its own.
+        self._made, self._origin, self._weight = (made, origin, weight) if weight <= MOST_WEIGHT else (None, None, 1)
+
+    @property
+    def origin(self) -> tuple[DataFrame, Column]:
+        if self._origin is None:
+            self._origin = self.df, F.col("v")
+        return self._origin
+
+    def _of_origin(self, value: Column, weight: int) -> SparkArray:
+        """The same cells with another expression over the rows they come from."""
+        rows, _ = self.origin
+        return SparkArray(rows.withColumn("v", value), self.shape, origin=(rows, value), weight=weight)
 
     # --- handle ---
     @property
@@ -121,14 +152,13 @@ class SparkArray:
         if a.dtype.kind == "c":
             both = cls.from_numpy(spark, a.real.astype("f8")), cls.from_numpy(spark, a.imag.astype("f8"))
             return both[0].binary(both[1], lambda re, im: C.cell((re, im)))
-        import pandas as pd
-
+        if a.dtype.kind == "u" and a.itemsize == 8:
+            v = pa.array([Decimal(x) for x in a.reshape(-1).tolist()], pa.decimal128(20, 0))
+        else:
+            # Unsigned types in the next larger signed one, half precision in single.
+            v = pa.array(a.reshape(-1).astype({"u1": "i2", "u2": "i4", "u4": "i8", "f2": "f4"}.get(a.dtype.kind + str(a.itemsize), a.dtype)))
         grid = np.indices(a.shape).reshape(a.ndim, -1) if a.ndim else np.zeros((0, 1), "i8")
-        pdf = pd.DataFrame({f"i{k}": g.astype("i8") for k, g in enumerate(grid)} | {"v": a.reshape(-1)})
-        if a.size == 0:
-            kind = "boolean" if a.dtype == bool else "long" if a.dtype.kind in "iu" else "double"
-            return cls(spark.createDataFrame([], ", ".join([*(f"{x} long" for x in axes(a.ndim)), f"v {kind}"])), a.shape)
-        return cls(spark.createDataFrame(pdf), a.shape)
+        return cls(spark.createDataFrame(pa.table([*(pa.array(g.astype("i8")) for g in grid), v], [*axes(a.ndim), "v"])), a.shape)
 
     @classmethod
     def from_column(cls, df: DataFrame, value: str | Column, order: Sequence[str | Column]) -> SparkArray:
@@ -139,14 +169,31 @@ class SparkArray:
         return cls(rows.select(F.col("id").alias("i0"), "v"), (df.count(),))
 
     def to_numpy(self) -> np.ndarray:
+        if self.nbytes > DRIVER_BYTES:
+            raise MemoryError(f"{self.nbytes} bytes are too much for the driver; write the array with save")
         if self.is_complex:
             return self.ufunc("real").to_numpy() + 1j * self.ufunc("imag").to_numpy()
-        pdf = self.df.toPandas()
-        out = np.empty(self.shape, dtype=pdf["v"].to_numpy().dtype)
-        out[tuple(pdf[a].to_numpy() for a in self.axes)] = pdf["v"].to_numpy() if self.ndim else pdf["v"].to_numpy()[0]
+        rows = self.df.toArrow()
+        v = rows["v"].to_numpy()
+        if self.dtype == "decimal(20,0)":
+            v = np.array([int(x) for x in v], "u8")
+        out = np.empty(self.shape, dtype=v.dtype)
+        out[tuple(rows[a].to_numpy() for a in self.axes)] = v if self.ndim else v[0]
         return out
 
+    def tobytes(self, order: str = "C") -> bytes:
+        return self.to_numpy().tobytes(order)
+
+    tostring = tobytes
+
+    def tofile(self, path: str, sep: str = "", format: str = "%s") -> None:  # noqa: A002
+        self.to_numpy().tofile(path, sep=sep, format=format)
+
+    def dump(self, path: str) -> None:
+        np.save(path, self.to_numpy(), allow_pickle=False)
+
     def item(self):
+        note("item")
         return self.df.first()["v"]
 
     def tolist(self):
@@ -160,7 +207,10 @@ class SparkArray:
 
     # --- elementwise ---
     def map(self, f) -> SparkArray:
-        return SparkArray(self.df.withColumn("v", f(F.col("v"))), self.shape)
+        if self._made is not None:
+            made = self._made
+            return SparkArray(self.df.withColumn("v", f(F.col("v"))), self.shape, made=lambda *i: f(made(*i)), weight=2 * self._weight)
+        return self._of_origin(f(self.origin[1]), 2 * self._weight)
 
     def astype(self, kind: str) -> SparkArray:
         """To a Spark type's name; ``complex`` is (re, im)."""
@@ -186,6 +236,21 @@ class SparkArray:
         if not isinstance(other, SparkArray):
             return self.map(lambda v: f(v, other))
         shape = np.broadcast_shapes(self.shape, other.shape)
+        weight = 2 * (self._weight + other._weight)
+        if self.shape == other.shape and (self is other or self.origin[0] is other.origin[0]):
+            return self._of_origin(f(self.origin[1], other.origin[1]), weight)
+        # A side that is an expression of its coordinates needs no rows of its own.
+        at = lambda x: [F.col(f"i{k + len(shape) - x.ndim}") if s != 1 else F.lit(0).cast("long") for k, s in enumerate(x.shape)]
+        if self._made is not None and other._made is not None and shape in (self.shape, other.shape):
+            one, two = self._made, other._made
+            whole = self if shape == self.shape else other
+            pick = lambda x, i: [i[k + len(shape) - x.ndim] if s != 1 else F.lit(0).cast("long") for k, s in enumerate(x.shape)]
+            made = lambda *i: f(one(*pick(self, i)), two(*pick(other, i)))
+            return SparkArray(whole.df.withColumn("v", made(*[F.col(c) for c in whole.axes])), shape, made=made, weight=weight)
+        if other._made is not None and shape == self.shape:
+            return self._of_origin(f(self.origin[1], other._made(*at(other))), weight)
+        if self._made is not None and shape == other.shape:
+            return other._of_origin(f(self._made(*at(self)), other.origin[1]), weight)
         n = len(shape)
         sides = []
         for x, name in ((self, "a"), (other, "b")):
@@ -216,13 +281,12 @@ class SparkArray:
                 return self.map(lambda v: C.UNARY[name](mine(v)))
             theirs = lambda v: C.parts(v, isinstance(other, SparkArray) and other.is_complex)
             return self.binary(other, lambda a, b: C.BINARY[name](mine(a), theirs(b)))
-        f = U.ufunc(name)
         if not others:
-            got = f(F.col("v"))
-            if isinstance(got, tuple):
-                return tuple(SparkArray(self.df.withColumn("v", g), self.shape) for g in got)
-            return SparkArray(self.df.withColumn("v", got), self.shape)
-        return self.binary(other, f)
+            f = U.ufunc(name, [self.dtype])
+            if name in U.MULTI:
+                return tuple(self.map(lambda v, k=k: f(v)[k]) for k in range(2))
+            return self.map(f)
+        return self.binary(other, U.ufunc(name, [self.dtype, other.dtype if isinstance(other, SparkArray) else U.kind_of(other)]))
 
     def __getattr__(self, name: str):
         table = {**U.UNARY, **U.BINARY, **U.MULTI, **U.ALIASES}
@@ -280,10 +344,15 @@ class SparkArray:
             pairs = spots.map(lambda f: F.struct(f.alias("f"), cast(value).alias("new")))
         at = [(F.expr(f"v.f div {max(st, 1)}") % max(s, 1)).alias(f"p{k}") for k, (s, st) in enumerate(zip(self.shape, strides(self.shape)))]
         updates = pairs.df.select(*at, F.col("v.new").alias("new"), pairs.flat_id().alias("nth")).withColumnsRenamed({f"p{k}": f"i{k}" for k in range(self.ndim)})
-        self.df = indexing.scatter(self, updates).df
+        self._become(indexing.scatter(self, updates))
+
+    def _become(self, other: SparkArray) -> None:
+        """This handle stands for another array of its shape from now on."""
+        self.df, self._made, self._origin, self._weight = other.df, other._made, other._origin, other._weight
 
     def __iter__(self):
         """Slices along the first axis, each a plan of its own; for whole arrays prefer operators."""
+        note("iteration")
         if not self.ndim:
             raise TypeError("iteration over a 0-d array")
         return (self[k] for k in range(self.shape[0]))
@@ -312,7 +381,7 @@ class SparkArray:
         return int(self._scalar())
 
     def __contains__(self, value) -> bool:
-        return bool(self.df.filter(U.ufunc("equal")(F.col("v"), value)).limit(1).count())
+        return bool(self.df.filter(U.ufunc("equal", [self.dtype, U.kind_of(value)])(F.col("v"), value)).limit(1).count())
 
     def __copy__(self) -> SparkArray:
         return SparkArray(self.df, self.shape)
@@ -338,13 +407,14 @@ class SparkArray:
         return namespace
 
     def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
-        """NumPy's ufuncs on these arrays become plans."""
-        if method != "__call__" or kwargs:
-            return NotImplemented
-        name, (first, *rest) = ufunc.__name__, inputs
-        if not isinstance(first, SparkArray):
-            first = SparkArray.from_numpy(rest[0].spark, first)
-        return first.ufunc({"divide": "true_divide"}.get(name, name), *rest)
+        """NumPy's ufuncs on these arrays, their methods and keywords become plans."""
+        from sparkarray.functions.callable import Ufunc
+
+        f = Ufunc(ufunc.__name__)
+        out = kwargs.pop("out", None)
+        if out is not None:
+            kwargs["out"] = out[0] if len(out) == 1 else out
+        return (f if method == "__call__" else getattr(f, method))(*inputs, **kwargs)
 
     def __array_function__(self, func, types, args, kwargs):
         from sparkarray import namespace
@@ -358,7 +428,7 @@ class SparkArray:
         return self.ufunc("absolute")
 
     def __invert__(self):
-        return self.ufunc("logical_not" if self.dtype == "boolean" else "invert")
+        return self.ufunc("invert")
 
     def __matmul__(self, other):
         from sparkarray.operators import products
@@ -372,7 +442,8 @@ def _operator(name: str, swap: bool = False):
             if not swap:
                 return self.ufunc(name, other)
             return self.binary(other, lambda a, b: C.BINARY[name](C.parts(b, False), C.parts(a, self.is_complex)))
-        f = U.ufunc(name)
+        kinds = [self.dtype, other.dtype if isinstance(other, SparkArray) else U.kind_of(other)]
+        f = U.ufunc(name, kinds[::-1] if swap else kinds)
         return self.binary(other, (lambda a, b: f(b, a)) if swap else f)
 
     return run
@@ -400,8 +471,6 @@ def running(df: DataFrame, keys: list[str], value: Column, name: str, by: Sequen
     by = list(by)
     ranged = cut(df.repartitionByRange(*by, *keys).withColumn("_p", F.spark_partition_id()).withColumn("_x", value))
     own = W.partitionBy("_p", *by).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    zero, less = (F.col("_x") == 0).cast("long"), (F.col("_x") < 0).cast("long")
-    signed = lambda agg: F.when(agg(zero) > 0, 0.0).otherwise(F.exp(agg(F.log(F.when(F.col("_x") != 0, F.abs(F.col("_x")))))) * F.when(agg(less) % 2 == 1, -1.0).otherwise(1.0))
     total = F.coalesce(F.product("_x"), F.lit(1.0)) if product else F.coalesce(F.sum("_x"), F.lit(0))
     parts = ranged.groupBy("_p", *by).agg(total.alias("_t"))
     # Ranges are few: the sums before each are a window over them.
@@ -412,6 +481,6 @@ def running(df: DataFrame, keys: list[str], value: Column, name: str, by: Sequen
     for b in by:
         on = on & (F.col(b) == F.col(f"_g_{b}"))
     out = ranged.join(parts, on)
-    run = signed(lambda c: F.sum(c).over(own)) if product else F.sum("_x").over(own)
+    run = F.product("_x").over(own) if product else F.sum("_x").over(own)
     whole = F.col("_b") * run if product else F.col("_b") + run - (F.col("_x") if exclusive else F.lit(0))
     return out.withColumn(name, whole).select(*df.columns, name)

@@ -1,13 +1,16 @@
 """Elementwise functions as builders of Catalyst expressions, with the edge rules of array programming.
 
 Division by zero gives infinities, logarithms of non-positive numbers give -inf or NaN, comparisons with NaN are false,
-integer division rounds down, remainders take the divisor's sign, rounding is half to even.
+integer division rounds down, remainders take the divisor's sign, rounding is half to even. ``ufunc`` takes the operands'
+types: whole numbers are compared, divided and raised as whole numbers (by zero: zero), truth values as truth values. A
+result that 64 bits can't hold is an error, as Spark's arithmetic has it, not a wrapped number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,14 +37,18 @@ def true_divide(a, b) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b).otherwise(1.0)).when((a == 0) | F.isnan(a), NAN).otherwise(F.when((a > 0) == ~signbit(b), INF).otherwise(-INF))
 
 
+#: Doubles from here on are whole.
+WHOLE = 2.0**52
+
+
 def floor(x) -> Column:
     x = d(x)
-    return F.when(F.isnan(x) | (F.abs(x) == INF), x).otherwise(F.floor(x).cast("double"))
+    return F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(F.floor(x).cast("double"))
 
 
 def ceil(x) -> Column:
     x = d(x)
-    return F.when(F.isnan(x) | (F.abs(x) == INF), x).otherwise(F.ceil(x).cast("double"))
+    return F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(F.ceil(x).cast("double"))
 
 
 def floor_divide(a, b) -> Column:
@@ -235,8 +242,77 @@ MULTI: dict[str, Callable] = {"modf": modf, "frexp": frexp}
 ALIASES = {"divide": "true_divide", "mod": "remainder", "abs": "absolute", "conj": "conjugate", "degrees": "rad2deg", "radians": "deg2rad", "bitwise_not": "invert", "acos": "arccos", "asin": "arcsin", "atan": "arctan", "atan2": "arctan2", "acosh": "arccosh", "asinh": "arcsinh", "atanh": "arctanh", "pow": "power", "concat": "concatenate"}
 
 
-def ufunc(name: str) -> Callable:
+def _whole(x) -> Column:
+    return lit(x).cast("long")
+
+
+def whole_floor_divide(a, b) -> Column:
+    a, b = _whole(a), _whole(b)
+    safe = F.when(b != 0, b).otherwise(F.lit(1).cast("long"))
+    down = F.when((a % safe != 0) & ((a < 0) != (b < 0)), 1).otherwise(0)
+    return F.when(b == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", a, safe) - down)
+
+
+def whole_remainder(a, b) -> Column:
+    a, b = _whole(a), _whole(b)
+    mod = a % F.when(b != 0, b).otherwise(F.lit(1).cast("long"))
+    return F.when(b == 0, F.lit(0).cast("long")).otherwise(F.when((mod != 0) & ((mod < 0) != (b < 0)), mod + b).otherwise(mod))
+
+
+def whole_fmod(a, b) -> Column:
+    a, b = _whole(a), _whole(b)
+    return F.when(b == 0, F.lit(0).cast("long")).otherwise(a % F.when(b != 0, b).otherwise(F.lit(1).cast("long")))
+
+
+def whole_power(a, b) -> Column:
+    """By squaring; a base is squared only while bits of the exponent are left, so nothing overflows before the result does."""
+    start = F.struct(F.lit(1).cast("long").alias("r"), _whole(a).alias("b"), _whole(b).alias("e"))
+
+    def step(s, _):
+        rest = F.shiftright(s["e"], 1)
+        return F.struct(F.when(s["e"] % 2 == 1, s["r"] * s["b"]).otherwise(s["r"]).alias("r"), F.when(rest > 0, s["b"] * s["b"]).otherwise(s["b"]).alias("b"), rest.alias("e"))
+
+    # A base of 0, 1 or -1 takes any exponent; others overflow long before 2^6 bits are used up.
+    got = F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda s: s["r"])
+    return F.when(_whole(b) < 0, F.raise_error(F.lit("whole numbers can't be raised to negative powers")).cast("long")).otherwise(got)
+
+
+WHOLE_UNARY: dict[str, Callable] = {"sign": lambda x: F.signum(lit(x)).cast("long"), "floor": lit, "ceil": lit, "trunc": lit, "signbit": lambda x: lit(x) < 0, "isnan": lambda x: F.lit(False), "isinf": lambda x: F.lit(False), "isfinite": lambda x: F.lit(True)}
+#: What a comparison is where both sides are whole, or both are truth values (as 0 and 1).
+COMPARE: dict[str, Callable] = {"greater": lambda a, b: a > b, "greater_equal": lambda a, b: a >= b, "less": lambda a, b: a < b, "less_equal": lambda a, b: a <= b, "equal": lambda a, b: a == b, "not_equal": lambda a, b: a != b}
+WHOLE_BINARY: dict[str, Callable] = {n: (lambda a, b, f=f: f(lit(a), lit(b))) for n, f in COMPARE.items()} | {
+    "maximum": lambda a, b: F.greatest(lit(a), lit(b)), "minimum": lambda a, b: F.least(lit(a), lit(b)), "fmax": lambda a, b: F.greatest(lit(a), lit(b)), "fmin": lambda a, b: F.least(lit(a), lit(b)),
+    "floor_divide": whole_floor_divide, "remainder": whole_remainder, "fmod": whole_fmod, "power": whole_power,
+}
+TRUTH_UNARY: dict[str, Callable] = {"invert": lambda x: ~lit(x), "absolute": lit, "square": lit}
+TRUTH_BINARY: dict[str, Callable] = {n: (lambda a, b, f=f: f(lit(a).cast("int"), lit(b).cast("int"))) for n, f in COMPARE.items()} | {
+    **{n: (lambda a, b: lit(a) | lit(b)) for n in ("add", "bitwise_or", "maximum", "fmax")}, **{n: (lambda a, b: lit(a) & lit(b)) for n in ("multiply", "bitwise_and", "minimum", "fmin")}, "bitwise_xor": lambda a, b: lit(a) != lit(b),
+}
+WHOLE_KINDS = ("tinyint", "smallint", "int", "bigint", "decimal(20,0)")
+
+
+def kind_of(x) -> str:
+    """The type's name of an operand that is no array."""
+    if isinstance(x, (bool, np.bool_)):
+        return "boolean"
+    return "bigint" if isinstance(x, (int, np.integer)) else "double"
+
+
+def ufunc(name: str, kinds: Sequence[str] = ()) -> Callable:
+    """The function by name; ``kinds`` are the operands' types, where they are known."""
     name = ALIASES.get(name, name)
+    if kinds:
+        truth_, whole = all(k == "boolean" for k in kinds), all(k in ("boolean", *WHOLE_KINDS) for k in kinds)
+        special = (TRUTH_UNARY | TRUTH_BINARY).get(name) if truth_ else (WHOLE_UNARY | WHOLE_BINARY).get(name) if whole and "boolean" not in kinds else None
+        if special is not None:
+            return special
+        if whole and not truth_ and name in BINARY:
+            # Truth values among whole numbers are 0 and 1.
+            f = WHOLE_BINARY.get(name, BINARY[name])
+            return lambda a, b: f(*(lit(x).cast("long") if k == "boolean" else x for x, k in zip((a, b), kinds)))
+        if "boolean" in kinds and name in ("add", "subtract", "multiply"):
+            f = BINARY[name]
+            return lambda a, b: f(*(lit(x).cast("long") if k == "boolean" else x for x, k in zip((a, b), kinds)))
     for table in (UNARY, BINARY, MULTI):
         if name in table:
             return table[name]

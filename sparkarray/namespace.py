@@ -10,12 +10,14 @@ from importlib import import_module
 
 from pyspark.sql import SparkSession
 
+from sparkarray import operators
 from sparkarray.array import SparkArray
 from sparkarray.functions import complexes as C
 from sparkarray.functions import ufuncs as U
+from sparkarray.functions.callable import Ufunc
 from sparkarray.session import session
 
-MODULES = ("creation", "reductions", "ordering", "scans", "hist", "indexing", "shaping", "products", "linalg", "signal", "misc")
+MODULES = ("creation", "reductions", "ordering", "scans", "hist", "indexing", "shaping", "products", "linalg", "signal", "misc", "tasks")
 
 pi, e, euler_gamma = 3.141592653589793, 2.718281828459045, 0.5772156649015329
 inf, nan, newaxis = U.INF, U.NAN, None
@@ -43,13 +45,8 @@ def _asarray(x) -> SparkArray:
     return x if isinstance(x, SparkArray) else SparkArray.from_numpy(spark(), x)
 
 
-def ufunc(name: str):
-    def run(x, *others):
-        if not isinstance(x, SparkArray) and others and isinstance(others[0], SparkArray):
-            x = _asarray(x)
-        return _asarray(x).ufunc(name, *others)
-
-    return run
+def ufunc(name: str) -> Ufunc:
+    return Ufunc(name)
 
 
 def astype(x: SparkArray, dtype: str) -> SparkArray:
@@ -68,10 +65,42 @@ class _Submodule:
         return _bound(getattr(self._module, name))
 
 
-def _random():
-    from sparkarray.operators.random import Generator
+class _Random:
+    """Draws from one generator for each session; ``seed`` begins it anew."""
+
+    def __init__(self):
+        self._of: dict = {}
+
+    def _generator(self):
+        from sparkarray.operators.random import Generator
+
+        s = spark()
+        key = s.sparkContext.applicationId
+        if key not in self._of:
+            self._of = {key: Generator(s)}
+        return self._of[key]
+
+    def seed(self, value: int | None = None) -> None:
+        from sparkarray.operators.random import Generator
+
+        s = spark()
+        self._of = {s.sparkContext.applicationId: Generator(s, value or 0)}
+
+    def RandomState(self, seed: int | None = None):  # noqa: N802
+        """A generator of its own."""
+        from sparkarray.operators.random import Generator
+
+        return Generator(spark(), seed or 0)
+
+    default_rng = Generator = RandomState
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self._generator(), name)
+
 
-    return Generator(spark())
+_random = _Random()
 
 
 def __getattr__(name: str):
@@ -80,7 +109,7 @@ def __getattr__(name: str):
     if name in DTYPES:
         return DTYPES[name]
     if name == "random":
-        return _random()
+        return _random
     if name in SUBMODULES:
         return _Submodule(SUBMODULES[name])
     for m in MODULES:
@@ -88,8 +117,11 @@ def __getattr__(name: str):
         f = vars(module).get(name)
         if f is not None and getattr(f, "__module__", m) in (module.__name__, "numpy") or callable(f) and name in ("broadcast_shapes",):
             return _bound(f)
-    if name in {"load", "save", "from_table", "from_rows", "open_saved"}:
+    if name in {"load", "save", "save_npy", "from_table", "from_rows", "open_saved"}:
         return _bound(getattr(import_module("sparkarray.sources.arrays"), name))
+    found = operators.method(name)
+    if found is not None:
+        return lambda a, *args, **kw: found(_asarray(a), *args, **kw)
     if U.ALIASES.get(name, name) in {**U.UNARY, **U.BINARY, **U.MULTI, **C.UNARY}:
         return ufunc(name)
     if hasattr(SparkArray, name):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reductions", "ordering", "scans", "hist", "indexing", "shaping", "products", "linalg", "signal", "misc")
+MODULES = ("reductions", "ordering", "scans", "hist", "indexing", "shaping", "products", "linalg", "signal", "misc", "tasks")
 _methods: dict = {}
 
 

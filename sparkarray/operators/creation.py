@@ -20,7 +20,7 @@ def grid(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
 
 def full(spark, shape, value) -> SparkArray:
     shape = (shape,) if isinstance(shape, int) else tuple(shape)
-    return SparkArray(grid(spark, shape).withColumn("v", F.lit(value)), shape)
+    return SparkArray(grid(spark, shape).withColumn("v", F.lit(value)), shape, made=lambda *i: F.lit(value))
 
 
 def zeros(spark, shape) -> SparkArray:
@@ -57,16 +57,19 @@ def arange(spark, start, stop=None, step=1) -> SparkArray:
     if stop is None:
         start, stop = 0, start
     n = max(0, math.ceil((stop - start) / step))
-    return SparkArray(spark.range(n).select(F.col("id").alias("i0"), (F.lit(start) + F.col("id") * step).alias("v")), (n,))
+    v = lambda i: F.lit(start) + i * step
+    return SparkArray(spark.range(n).select(F.col("id").alias("i0"), v(F.col("id")).alias("v")), (n,), made=v)
 
 
 def linspace(spark, start, stop, num=50, endpoint=True, retstep=False):
     gaps = num - 1 if endpoint else num
     step = (stop - start) / gaps if gaps > 0 else float("nan")
-    v = F.lit(float(start)) + F.col("id") * (step if gaps > 0 else 0.0)
-    if endpoint and num > 1:
-        v = F.when(F.col("id") == num - 1, F.lit(float(stop))).otherwise(v)
-    out = SparkArray(spark.range(num).select(F.col("id").alias("i0"), v.alias("v")), (num,))
+
+    def v(i):
+        even = F.lit(float(start)) + i * (step if gaps > 0 else 0.0)
+        return F.when(i == num - 1, F.lit(float(stop))).otherwise(even) if endpoint and num > 1 else even
+
+    out = SparkArray(spark.range(num).select(F.col("id").alias("i0"), v(F.col("id")).alias("v")), (num,), made=v)
     return (out, step) if retstep else out
 
 
@@ -76,7 +79,8 @@ def logspace(spark, start, stop, num=50, endpoint=True, base=10.0) -> SparkArray
 
 def eye(spark, n, m=None, k=0) -> SparkArray:
     m = n if m is None else m
-    return SparkArray(grid(spark, (n, m)).withColumn("v", (F.col("i1") - F.col("i0") == k).cast("double")), (n, m))
+    v = lambda i, j: (j - i == k).cast("double")
+    return SparkArray(grid(spark, (n, m)).withColumn("v", v(F.col("i0"), F.col("i1"))), (n, m), made=v)
 
 
 def identity(spark, n) -> SparkArray:
@@ -85,7 +89,8 @@ def identity(spark, n) -> SparkArray:
 
 def tri(spark, n, m=None, k=0) -> SparkArray:
     m = n if m is None else m
-    return SparkArray(grid(spark, (n, m)).withColumn("v", (F.col("i1") <= F.col("i0") + k).cast("double")), (n, m))
+    v = lambda i, j: (j <= i + k).cast("double")
+    return SparkArray(grid(spark, (n, m)).withColumn("v", v(F.col("i0"), F.col("i1"))), (n, m), made=v)
 
 
 def _triangle(a: SparkArray, keep: Column) -> SparkArray:
@@ -102,6 +107,11 @@ def triu(a, k=0):
     return _triangle(a, F.col(q) >= F.col(p) + k)
 
 
+def trilu(m, k=0, lower=True):
+    """The lower or the upper triangle."""
+    return tril(m, k) if lower else triu(m, k)
+
+
 def diag(a, k=0):
     """A vector's matrix, or a matrix's diagonal."""
     from sparkarray.operators.indexing import diagonal

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkarray.array import BROADCAST_CELLS, SparkArray, axes, dense_ids, norm_axis, strides
+from sparkarray.array import BROADCAST_CELLS, SparkArray, axes, dense_ids, norm_axis, note, strides
 
 
 def _small(df, n: int):
@@ -14,18 +15,22 @@ def _small(df, n: int):
 
 
 def get(a: SparkArray, key):
-    """Integers, slices of any step, None, Ellipsis; one mask; one index array on one axis; index arrays on all axes."""
+    """Integers, slices of any step, None, Ellipsis, masks and index arrays, in any mixture."""
     if isinstance(key, SparkArray):
         return mask(a, key) if key.dtype == "boolean" else take(a, key, 0)
-    key = key if isinstance(key, tuple) else (key,)
-    if key and all(isinstance(k, SparkArray) for k in key) and len(key) == a.ndim:
-        return gather(a, key)
+    key = [SparkArray.from_numpy(a.spark, k) if isinstance(k, (list, np.ndarray)) else k for k in (key if isinstance(key, tuple) else (key,))]
+    # A mask stands for the index arrays of its true cells.
+    if len(key) > 1 and any(isinstance(k, SparkArray) and k.dtype == "boolean" for k in key):
+        key = [x for k in key for x in (nonzero(k) if isinstance(k, SparkArray) and k.dtype == "boolean" else (k,))]
     used = sum(k is not None and k is not Ellipsis for k in key)
-    if Ellipsis in [k if not isinstance(k, SparkArray) else 0 for k in key]:
-        at = [k is Ellipsis for k in key].index(True)
-        key = key[:at] + (slice(None),) * (a.ndim - used) + key[at + 1 :]
-    else:
-        key = key + (slice(None),) * (a.ndim - used)
+    if used > a.ndim:
+        raise IndexError("too many indices")
+    fill = [slice(None)] * (a.ndim - used)
+    at = next((n for n, k in enumerate(key) if k is Ellipsis), None)
+    key = key + fill if at is None else key[:at] + fill + key[at + 1 :]
+    arrays = sum(isinstance(k, SparkArray) for k in key)
+    if arrays > 1 or (arrays and any(isinstance(k, int) for k in key)):
+        return _several(a, key)
     df, shape, cols, n, later = a.df, [], [], 0, []
     for k in key:
         if k is None:
@@ -55,6 +60,41 @@ def get(a: SparkArray, key):
     return out
 
 
+def _several(a: SparkArray, key: list) -> SparkArray:
+    """Index arrays (and integers) on some axes, broadcast against each other: their axes stand where the first of them is
+    if they are neighbours, else in front.
+    """
+    special = [isinstance(k, (int, SparkArray)) for k in key]
+    b = get(a, tuple(slice(None) if x else k for k, x in zip(key, special)))
+    dims = [n for n, x in enumerate(special) if x]
+    apart = dims != list(range(dims[0], dims[-1] + 1))
+    packed, plain = None, []
+    for n in dims:
+        k, size = key[n], b.shape[n]
+        if isinstance(k, int):
+            if not -size <= k < size:
+                raise IndexError(k)
+            plain.append((n, k % size))
+            continue
+        one = _index(k, size).map(lambda v: F.array(v))
+        packed = one if packed is None else packed.binary(one, lambda x, y: F.concat(x, y))
+    own = [n for n in dims if isinstance(key[n], SparkArray)]
+    want = packed.df.select(*[F.col(c).alias(f"o{m}") for m, c in enumerate(packed.axes)], *[F.get("v", F.lit(m)).alias(f"p{n}") for m, n in enumerate(own)])
+    rows = b.df
+    for n, k in plain:
+        rows = rows.filter(F.col(f"i{n}") == k)
+    on = F.lit(True)
+    for m, n in enumerate(own):
+        on = (F.col(f"i{n}") == F.col(f"p{n}")) if not m else on & (F.col(f"i{n}") == F.col(f"p{n}"))
+    rows = rows.join(_small(want, packed.size), on)
+    new = [(F.col(f"o{m}"), s) for m, s in enumerate(packed.shape)]
+    rest = [(n, (F.col(f"i{n}"), b.shape[n])) for n in range(b.ndim) if n not in dims]
+    first = 0 if apart else dims[0]
+    out = [x for n, x in rest if n < first] + new + [x for n, x in rest if n >= first]
+    df = rows.select(*[c.alias(f"j{m}") for m, (c, _) in enumerate(out)], "v").withColumnsRenamed({f"j{m}": f"i{m}" for m in range(len(out))})
+    return SparkArray(df, [s for _, s in out])
+
+
 def mask(a: SparkArray, m: SparkArray) -> SparkArray:
     """The cells where the mask is true, in order."""
     kept = a.df.join(m.df.filter("v").drop("v"), [f"i{k}" for k in range(m.ndim)])
@@ -71,6 +111,7 @@ def extract(condition: SparkArray, a: SparkArray) -> SparkArray:
 
 
 def nonzero(a: SparkArray) -> tuple[SparkArray, ...]:
+    note("nonzero")
     hits = dense_ids(a.df.filter(F.col("v").cast("double") != 0).drop("v"), a.axes, "o")
     n = hits.count()
     return tuple(SparkArray(hits.select(F.col("o").alias("i_"), F.col(c).alias("v")).withColumnRenamed("i_", "i0"), (n,)) for c in a.axes)

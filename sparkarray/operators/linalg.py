@@ -1,6 +1,8 @@
 """Dense factorizations. Tall matrices go through Gram matrices (an aggregate); a small matrix is one grouped Arrow kernel.
 
-The kernels work on whole matrices of at most ``KERNEL_CELLS`` cells, checked by shape; stacks of matrices are one group each.
+The kernels work on whole matrices of at most ``KERNEL_CELLS`` cells, checked by shape; stacks of matrices are one group
+each. Larger ones are factorized by blocks (``cholesky``, triangular systems) or through their Gram matrix (``qr``, ``solve``,
+``tssvd``), whose condition is the square of theirs.
 """
 
 from collections.abc import Callable, Iterator
@@ -11,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkarray.array import SparkArray, norm_axis
-from sparkarray.operators.products import einsum, matmul
+from sparkarray.operators.products import _tiled, einsum, matmul
+from sparkarray.session import cut
 from sparkarray.operators.reductions import amax, amin, count_nonzero, reduce, sum as total
 
 KERNEL_CELLS = 16_000_000
@@ -71,6 +74,9 @@ def _square(a):
 
 def cholesky(a, upper=False):
     n = _square(a)
+    if a.ndim == 2 and n * n > KERNEL_CELLS:
+        low = blocked_cholesky(a)
+        return low.T if upper else low
     return kernel(a, lambda m: np.linalg.cholesky(m).T if upper else np.linalg.cholesky(m), [(n, n)])[0]
 
 
@@ -79,8 +85,11 @@ def cho_factor(a, lower=False):
 
 
 def qr(a):
+    """Reduced. A matrix too large for one kernel, at least as tall as wide, goes through its Gram matrix, twice."""
     m, n = a.shape[-2:]
     k = min(m, n)
+    if a.ndim == 2 and m * n > KERNEL_CELLS and m >= n:
+        return gram_qr(a)
     return kernel(a, lambda x: tuple(np.linalg.qr(x)), [(m, k), (k, n)])
 
 
@@ -109,6 +118,10 @@ def eigvalsh(a, uplo="L"):
 
 
 def solve(a, b):
+    """A matrix too large for one kernel is solved by its Q and R."""
+    if a.ndim == 2 and a.size > KERNEL_CELLS:
+        q, r = gram_qr(a)
+        return solve_triangular(r, matmul(q.T, b))
     return kernel(a, np.linalg.solve, [b.shape[a.ndim - 2 :]], [b])[0]
 
 
@@ -126,6 +139,10 @@ cholesky_solve = cho_solve
 
 
 def solve_triangular(a, b, trans=0, lower=False, unit_diagonal=False):
+    if a.ndim == 2 and a.size > KERNEL_CELLS:
+        t = a.T if trans else a
+        return blocked_triangular(t, b, lower != bool(trans), unit_diagonal)
+
     def run(m, y):
         m = np.tril(m) if lower else np.triu(m)
         if unit_diagonal:
@@ -170,11 +187,26 @@ def expm(a):
 
 
 def gram(a):
-    """A'A of a tall matrix: one join on rows and one aggregate, or per-row products when rows are short."""
-    rows = a.df.groupBy("i0").agg(F.sort_array(F.collect_list(F.struct("i1", F.col("v").cast("double").alias("v")))).alias("r"))
-    cells = rows.select(F.explode("r").alias("x"), "r").select(F.col("x.i1").alias("i0"), F.col("x.v").alias("a"), F.explode("r").alias("y"))
-    df = cells.groupBy("i0", F.col("y.i1").alias("i1")).agg(F.sum(F.col("a") * F.col("y.v")).alias("v"))
-    return SparkArray(df, (a.shape[1], a.shape[1]))
+    """A'A of a tall matrix: rows are gathered once, every task sums the products of its rows, the sums are added."""
+    d = a.shape[1]
+    if d * d > KERNEL_CELLS:
+        return matmul(a.T, a)
+    rows = a.df.select("i0", F.struct(F.col("i1").cast("int").alias("k"), F.col("v").cast("double").alias("v")).alias("x")).groupBy("i0").agg(F.collect_list("x").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            most = max(1, 4_000_000 // max(d, 1))
+            for part in (b.slice(k, most) for k in range(0, b.num_rows, most)):
+                cells = part.column(0).flatten()
+                m = np.zeros((part.num_rows, d))
+                m[np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy())), cells.field(0).to_numpy()] = cells.field(1).to_numpy()
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(list(total), pa.list_(pa.float64()))], ["i0", "row"])
+
+    parts = rows.select("x").mapInArrow(run, "i0 long, row array<double>").select("i0", F.posexplode("row").alias("p", "v"))
+    return SparkArray(parts.groupBy("i0", "p").agg(F.sum("v").alias("v")).select("i0", F.col("p").cast("long").alias("i1"), "v"), (d, d))
 
 
 def tssvd(a):
@@ -209,41 +241,97 @@ def norm(x, ord=None, axis=None, keepdims=False):  # noqa: A002
     return (amax if ord > 0 else amin)(sums, (p, q), keepdims)
 
 
-def matrix_rank(a, tol=1e-10):
-    return count_nonzero(svd(a, False)[1].map(lambda v: v > tol))
+#: Side of the blocks of a factorization that no kernel holds whole.
+BLOCK = 2048
 
 
-def tiled_matmul(a, b, block: int = 512):
-    """Block tiles: cells are packed into tiles by two aggregates, tiles join on the shared block index, each product of
-    tiles is one kernel call and leaves rows of a tile, which are summed element by element.
+def _block(a: SparkArray, i: int, j: int, rows: int, cols: int, n: int, m: int) -> SparkArray:
+    """The block (i, j) as a matrix of its own."""
+    h, w = min(rows, n - i * rows), min(cols, m - j * cols)
+    lo, left = i * rows, j * cols
+    df = a.df.filter((F.col("i0") >= lo) & (F.col("i0") < lo + h) & (F.col("i1") >= left) & (F.col("i1") < left + w))
+    return SparkArray(df.select((F.col("i0") - lo).alias("i0"), (F.col("i1") - left).alias("i1"), "v"), (h, w))
+
+
+def _rows_below(a: SparkArray, lo: int, left: int, right: int) -> SparkArray:
+    df = a.df.filter((F.col("i0") >= lo) & (F.col("i1") >= left) & (F.col("i1") < right))
+    return SparkArray(df.select((F.col("i0") - lo).alias("i0"), (F.col("i1") - left).alias("i1"), "v"), (a.shape[0] - lo, right - left))
+
+
+def blocked_cholesky(a: SparkArray, side: int = BLOCK) -> SparkArray:
+    """Right-looking, by block columns: the diagonal block is one kernel, the panel below it a product with its inverse, what
+    is left loses the panel's product with itself (by tiles) and is cut, so plans don't grow with the number of blocks.
     """
-    n, m = a.shape[0], b.shape[1]
+    n, done, rest = a.shape[0], None, a.astype("double")
+    for k in range(0, n, side):
+        h = min(side, n - k)
+        local = SparkArray(rest.df, (n - k, n - k))
+        low = SparkArray(cut(cholesky(_block(local, 0, 0, h, h, h, h)).df), (h, h))
+        parts = [low.df.select((F.col("i0") + k).alias("i0"), (F.col("i1") + k).alias("i1"), "v")]
+        if k + h < n:
+            panel = _rows_below(local, h, 0, h)
+            panel = SparkArray(cut(matmul(panel, inv(low).T).df), panel.shape)
+            parts.append(panel.df.select((F.col("i0") + k + h).alias("i0"), (F.col("i1") + k).alias("i1"), "v"))
+            rest = SparkArray(cut((_rows_below(local, h, h, n - k) - matmul(panel, panel.T)).df), (n - k - h, n - k - h))
+        for p in parts:
+            done = p if done is None else done.unionByName(p)
+    from sparkarray.operators.creation import grid
+
+    full = grid(a.spark, (n, n)).join(done.filter("i1 <= i0"), ["i0", "i1"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return SparkArray(full, (n, n))
+
+
+def blocked_triangular(a: SparkArray, b: SparkArray, lower: bool, unit_diagonal: bool = False, side: int = BLOCK) -> SparkArray:
+    """Block by block along the diagonal; each block's solution is taken off the right side of those that follow."""
+    n, vector = a.shape[0], b.ndim == 1
+    right = b.reshape(n, 1) if vector else b
+    right, found = right.astype("double"), None
+    steps = range(0, n, side)
+    for k in steps if lower else reversed(steps):
+        h = min(side, n - k)
+        own = SparkArray(a.df.filter((F.col("i0") >= k) & (F.col("i0") < k + h) & (F.col("i1") >= k) & (F.col("i1") < k + h)).select((F.col("i0") - k).alias("i0"), (F.col("i1") - k).alias("i1"), "v"), (h, h))
+        mine = SparkArray(right.df.filter((F.col("i0") >= k) & (F.col("i0") < k + h)).select((F.col("i0") - k).alias("i0"), "i1", "v"), (h, right.shape[1]))
+        x = SparkArray(cut(solve_triangular(own, mine, 0, lower, unit_diagonal).df), mine.shape)
+        part = x.df.select((F.col("i0") + k).alias("i0"), "i1", "v")
+        found = part if found is None else found.unionByName(part)
+        others = F.col("i0") >= k + h if lower else F.col("i0") < k
+        column = SparkArray(a.df.filter(others & (F.col("i1") >= k) & (F.col("i1") < k + h)).select("i0", (F.col("i1") - k).alias("i1"), "v"), (n, h))
+        if (k + h < n) if lower else k:
+            less = matmul(column, x).df.withColumnRenamed("v", "w")
+            new = right.df.filter(others).join(less, ["i0", "i1"], "left").withColumn("v", F.col("v") - F.coalesce("w", F.lit(0.0)))
+            right = SparkArray(cut(new), right.shape)
+    out = SparkArray(found, right.shape)
+    return out.reshape(n) if vector else out
+
+
+def gram_qr(a: SparkArray) -> list[SparkArray]:
+    """Q = A R^-1 with R from the Gram matrix's Cholesky factor; done twice, which restores what the square loses."""
+    q, r = SparkArray(a.astype("double").df, a.shape), None
+    for _ in range(2):
+        up = cholesky(gram(q), True)
+        up = SparkArray(cut(up.df), up.shape)
+        inverse = solve_triangular(up, _identity(a, up.shape[0]))
+        q = SparkArray(cut(matmul(q, inverse).df), a.shape)
+        r = up if r is None else matmul(up, r)
+    return [q, r]
+
+
+def _identity(a: SparkArray, n: int) -> SparkArray:
+    from sparkarray.operators.creation import identity
+
+    return identity(a.spark, n)
 
-    def tiles(x, i, j, name):
-        df = x.df.select(F.expr(f"i0 div {block}").cast("int").alias(i), F.expr(f"i1 div {block}").cast("int").alias(j), ((F.col("i0") % block) * block + F.col("i1") % block).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
-        return df.groupBy(i, j).agg(F.collect_list(F.struct("at", "v")).alias(name))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                bi, bj = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                sides = []
-                for c in (2, 3):
-                    cells = batch.column(c)[r].values
-                    d = np.zeros(block * block)
-                    d[cells.field(0).to_numpy()] = cells.field(1).to_numpy()
-                    sides.append(d.reshape(block, block))
-                rows, width = min(block, n - bi * block), min(block, m - bj * block)
-                p = (sides[0] @ sides[1])[:rows, :width]
-                ends = pa.array(np.arange(rows + 1) * width, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(bi * block + np.arange(rows), pa.int64()), pa.array(np.full(rows, bj, "i4")), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).reshape(-1)))], ["i0", "bj", "row"])
-
-    parts = tiles(a, "bi", "bk", "x").join(tiles(b, "bk", "bj", "y"), "bk").select("bi", "bj", "x", "y").mapInArrow(run, "i0 long, bj int, row array<double>")
-    if a.shape[1] > block:
-        cells = parts.select("i0", "bj", F.posexplode("row").alias("p", "v")).groupBy("i0", "bj", "p").agg(F.sum("v").alias("v"))
-    else:
-        cells = parts.select("i0", "bj", F.posexplode("row").alias("p", "v"))
-    return SparkArray(cells.select("i0", (F.col("bj").cast("long") * block + F.col("p")).alias("i1"), "v"), (n, m))
+def matrix_rank(a, tol=1e-10):
+    return count_nonzero(svd(a, False)[1].map(lambda v: v > tol))
+
+
+def tiled_matmul(a, b, block: int = 512):
+    """The product of two matrices by tiles of a given side, whatever their size."""
+    extent = {"i": a.shape[0], "k": a.shape[1], "j": b.shape[1]}
+    named = lambda x, p, q: x.df.select(F.col("i0").alias(f"m_{p}"), F.col("i1").alias(f"m_{q}"), "v")
+    _, df, _ = _tiled(["i", "k"], named(a, "i", "k"), ["k", "j"], named(b, "k", "j"), {"i", "j"}, extent, block)
+    return SparkArray(df.select(F.col("m_i").alias("i0"), F.col("m_j").alias("i1"), "v"), (a.shape[0], b.shape[1]))
 
 
 METHODS = {f.__name__: f for f in (cholesky, qr, svd, eig, eigvals, eigh, eigvalsh, solve, inv, pinv, det, expm, gram, tssvd, norm)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkarray.array import SparkArray, dense_ids, norm_axis
+from sparkarray.array import SparkArray, dense_ids, norm_axis, running
 from sparkarray.operators.reductions import split_axes
 
+#: Longer lines are ranked in two phases over ranges, so that no task holds one.
+LINE = 1_000_000
 #: A sorted table of at most so many values is looked up as an array; a longer one by a merged scan.
 LOOKUP_VALUES = 10_000
 
@@ -22,6 +25,8 @@ def _ranked(a: SparkArray, axis: int) -> tuple:
     rest = [f"i{n}" for n in range(a.ndim) if n != k]
     if not rest:
         return dense_ids(a.df, ["v", f"i{k}"], "r"), k
+    if a.shape[k] > LINE:
+        return running(a.df, ["v", f"i{k}"], F.lit(1), "r", rest, exclusive=True), k
     return a.df.withColumn("r", F.row_number().over(W.partitionBy(*rest).orderBy("v", f"i{k}")).cast("long") - 1), k
 
 
@@ -70,9 +75,8 @@ def searchsorted(a: SparkArray, v: SparkArray, side: str = "left") -> SparkArray
         test = (lambda x, q: x < q) if side == "left" else (lambda x, q: x <= q)
         df = v.df.crossJoin(F.broadcast(table)).withColumn("v", F.size(F.filter("t", lambda x: test(x, F.col("v")))).cast("long"))
         return SparkArray(df.drop("t"), v.shape)
-    from sparkarray.array import running
-
-    own = a.df.select(F.col("v").alias("x"), F.lit(0 if side == "right" else 1).alias("o"), F.lit(1).cast("long").alias("n"), *[F.lit(None).cast("long").alias(c) for c in v.axes])
+    # A repeated value is one row with its number.
+    own = a.df.groupBy("v").agg(F.count("*").alias("n")).select(F.col("v").alias("x"), F.lit(0 if side == "right" else 1).alias("o"), "n", *[F.lit(None).cast("long").alias(c) for c in v.axes])
     asked = v.df.select(F.col("v").alias("x"), F.lit(1 if side == "right" else 0).alias("o"), F.lit(0).cast("long").alias("n"), *[F.col(c) for c in v.axes])
     got = running(own.unionByName(asked), ["x", "o"], F.col("n"), "r").filter("n = 0")
     return SparkArray(got.select(*v.axes, F.col("r").alias("v")), v.shape)
@@ -92,13 +96,16 @@ def unique(a, return_counts: bool = False, return_index: bool = False):
 
 
 def isin(a, test: SparkArray, invert: bool = False) -> SparkArray:
-    """NaN is no member of anything."""
+    """NaN is no member of anything, nor a stranger to anything."""
     members = test.df.select(F.col("v").alias("t")).distinct()
     if test.dtype in ("double", "float"):
         members = members.filter(~F.isnan("t"))
     df = a.df.join(members, a.df["v"] == members["t"], "left")
     hit = F.col("t").isNotNull()
-    return SparkArray(df.withColumn("v", ~hit if invert else hit), a.shape)
+    hit = ~hit if invert else hit
+    if a.dtype in ("double", "float"):
+        hit = ~F.isnan("v") & hit
+    return SparkArray(df.withColumn("v", hit), a.shape)
 
 
 def _virtual(method: str, q: Column, n: Column) -> tuple[Column, Column]:
@@ -136,7 +143,9 @@ def quantile(a, q, axis=None, method: str = "linear", ignore_nan: bool = False)
     gone, stay = split_axes(a, axis)
     by = [f"i{k}" for k in stay]
     df = a.df.filter(~F.isnan(F.col("v").cast("double"))) if ignore_nan else a.df
-    if by:
+    if by and math.prod(a.shape[k] for k in gone) > LINE:
+        ranked = running(df.withColumn("f", a.flat_id()), ["v", "f"], F.lit(1), "r", by, exclusive=True)
+    elif by:
         ranked = df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("v")) - 1)
     else:
         ranked = dense_ids(df.withColumn("f", a.flat_id()), ["v", "f"], "r")

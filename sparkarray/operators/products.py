@@ -1,10 +1,15 @@
-"""Products and contractions: a join on the shared modes, an aggregate over the summed ones."""
+"""Products and contractions: a join on the shared modes, an aggregate over the summed ones.
 
-from __future__ import annotations
+Where a join of cells would have ``TILE_WORK`` rows or more, both sides are packed into tiles by an aggregate each and the
+join is of tiles, whose product is one kernel call: whatever the types and the number of modes.
+"""
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkarray.array import BROADCAST_CELLS, SparkArray, norm_axis
@@ -29,7 +34,7 @@ def einsum(expr: str, *operands: SparkArray, optimize: bool | str | list = True)
         i, j = sorted((i, j))
         q, p = work.pop(j), work.pop(i)
         keep = set(out) | {c for modes, _, _ in work for c in modes}
-        work.append(_pair(p, q, keep))
+        work.append(_pair(p, q, keep, extent))
     modes, df, _ = work[0]
     gone = [c for c in modes if c not in out]
     if gone:
@@ -93,9 +98,11 @@ def _single(t: str, a: SparkArray, keep: set[str]):
     return own, df, a.size
 
 
-def _pair(p, q, keep: set[str]):
+def _pair(p, q, keep: set[str], extent: dict[str, int]):
     (pm, pd, ps), (qm, qd, qs) = p, q
     shared = [c for c in pm if c in qm]
+    if set(shared) - keep and math.prod(extent[c] for c in {*pm, *qm}) >= TILE_WORK:
+        return _tiled(pm, pd, qm, qd, keep, extent)
     qd = qd.withColumnRenamed("v", "w")
     if qs <= BROADCAST_CELLS:
         qd = F.broadcast(qd)
@@ -110,6 +117,71 @@ def _pair(p, q, keep: set[str]):
     return own, df, max(ps, qs)
 
 
+#: Cells of a tile's side at most, and of a tile.
+SIDE, TILE = 512, 512 * 512
+
+
+def _tiled(pm: list[str], pd, qm: list[str], qd, keep: set[str], extent: dict[str, int], side: int = SIDE):
+    """Modes that both have and the output keeps are a batch; tiles join on it and on the block of the summed modes."""
+    batch, gone = [c for c in pm if c in qm and c in keep], [c for c in pm if c in qm and c not in keep]
+    left, right = [c for c in pm if c not in qm], [c for c in qm if c not in pm]
+    size = lambda modes: math.prod(extent[c] for c in modes)
+    ni, nk, nj = size(left), size(gone), size(right)
+    bi, bj = min(side, ni), min(side, nj)
+    bk = min(nk, max(side, TILE // max(bi, bj)))
+    kinds = [d.schema["v"].dataType.typeName() for d in (pd, qd)]
+    kind = "complex" if "struct" in kinds else "i8" if all(k in ("long", "integer", "short", "byte") for k in kinds) else "f8"
+
+    def flat(modes: list[str]):
+        out = F.lit(0).cast("long")
+        for c in modes:
+            out = out * extent[c] + F.col(f"m_{c}")
+        return out
+
+    def tiles(df, rows, r, row_name, cols, c, col_name, name, width):
+        value = [F.col("v.re").alias("re"), F.col("v.im").alias("im")] if df.schema["v"].dataType.typeName() == "struct" else [F.col("v").cast("long" if kind == "i8" else "double").alias("re")]
+        cells = df.select(flat(batch).alias("b"), flat(rows).alias("r"), flat(cols).alias("c"), *value)
+        at = ((F.col("r") % r) * width + F.col("c") % c).cast("int").alias("at")
+        return cells.select("b", F.expr(f"r div {r}").alias(row_name), F.expr(f"c div {c}").alias(col_name), F.struct(at, *[x.replace("v.", "") for x in (["re", "im"] if len(value) == 2 else ["re"])]).alias("x")).groupBy("b", row_name, col_name).agg(F.collect_list("x").alias(name))
+
+    def dense(cells, shape) -> np.ndarray:
+        d = np.zeros(shape[0] * shape[1], kind)
+        v = cells.field(1).to_numpy()
+        d[cells.field(0).to_numpy()] = v + 1j * cells.field(2).to_numpy() if cells.type.num_fields == 3 else v
+        return d.reshape(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for r in range(rows.num_rows):
+                b, ti, tj = (rows.column(c)[r].as_py() for c in range(3))
+                x, y = dense(rows.column(3)[r].values, (bi, bk)), dense(rows.column(4)[r].values, (bk, bj))
+                h, w = min(bi, ni - ti * bi), min(bj, nj - tj * bj)
+                p = (x @ y)[:h, :w]
+                ends = pa.array(np.arange(h + 1) * w, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(z).reshape(-1))) for z in ((p.real, p.imag) if kind == "complex" else (p,))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(h, b)), pa.array(ti * bi + np.arange(h)), pa.array(np.full(h, tj)), *lists], ["b", "i", "tj", "re", "im"][: 3 + len(lists)])
+
+    both = tiles(pd, left, bi, "ti", gone, bk, "tk", "x", bk).join(tiles(qd, gone, bk, "tk", right, bj, "tj", "y", bj), ["b", "tk"]).select("b", "ti", "tj", "x", "y")
+    element = "long" if kind == "i8" else "double"
+    parts = both.mapInArrow(run, f"b long, i long, tj long, re array<{element}>" + f", im array<{element}>" * (kind == "complex"))
+    if kind == "complex":
+        cells = parts.select("b", "i", "tj", F.posexplode(F.arrays_zip("re", "im")).alias("p", "v"))
+    else:
+        cells = parts.select("b", "i", "tj", F.posexplode("re").alias("p", "v"))
+    if nk > bk:
+        cells = cells.groupBy("b", "i", "tj", "p").agg(_added(cells))
+    cells = cells.select("b", "i", (F.col("tj") * bj + F.col("p")).alias("j"), "v")
+
+    def apart(column: str, modes: list[str]):
+        out, step = [], 1
+        for c in reversed(modes):
+            out.append((F.expr(f"{column} div {step}") % extent[c]).cast("long").alias(f"m_{c}"))
+            step *= extent[c]
+        return out
+
+    return [*batch, *left, *right], cells.select(*apart("b", batch), *apart("i", left), *apart("j", right), "v"), size(batch) * ni * nj
+
+
 def tensordot(a, b, axes=2):
     if isinstance(axes, int):
         pa, pb = list(range(a.ndim - axes, a.ndim)), list(range(axes))
@@ -127,31 +199,34 @@ def tensordot(a, b, axes=2):
 def dot(a, b):
     if not isinstance(b, SparkArray) or a.ndim == 0 or b.ndim == 0:
         return a.ufunc("multiply", b)
+    if a.ndim == b.ndim == 1:
+        if a.shape != b.shape:
+            raise ValueError("shapes are not aligned")
+        # Vectors of one origin need no join.
+        from sparkarray.operators.reductions import sum as total
+
+        return total(a.ufunc("multiply", b))
     return tensordot(a, b, ([a.ndim - 1], [max(b.ndim - 2, 0)]))
 
 
 def inner(a, b):
-    return tensordot(a, b, ([a.ndim - 1], [b.ndim - 1]))
+    return dot(a, b) if a.ndim == b.ndim == 1 else tensordot(a, b, ([a.ndim - 1], [b.ndim - 1]))
 
 
 def vdot(a, b):
-    return tensordot(a.ufunc("conjugate").ravel() if a.is_complex else a.ravel(), b.ravel(), 1)
+    return dot(a.ufunc("conjugate").ravel() if a.is_complex else a.ravel(), b.ravel())
 
 
 def outer(a, b):
     return einsum("a,b->ab", a.ravel(), b.ravel())
 
 
-#: Products of matrices with so many multiplications go by tiles: a join of cells would have as many rows.
+#: Contractions with so many multiplications go by tiles: a join of cells would have as many rows.
 TILE_WORK = 50_000_000
 
 
 def matmul(a, b):
     if a.ndim <= 2 and b.ndim <= 2:
-        if a.ndim == b.ndim == 2 and a.dtype == b.dtype == "double" and a.size * b.shape[1] >= TILE_WORK:
-            from sparkarray.operators.linalg import tiled_matmul
-
-            return tiled_matmul(a, b)
         return dot(a, b)
     batch = "abcdefgh"
     n = max(a.ndim, b.ndim) - 2

@@ -66,8 +66,9 @@ class Generator:
 
     def _expression(self, size, f) -> SparkArray:
         shape, draw = self._shape(size), self._next()
-        out = SparkArray(grid(self.spark, shape).withColumn("v", F.lit(0.0)), shape)
-        return SparkArray(out.df.withColumn("v", f(out.flat_id(), draw)), shape)
+        steps = strides(shape)
+        made = lambda *i: f(sum((x * s for x, s in zip(i, steps)), F.lit(0).cast("long")), draw)
+        return SparkArray(grid(self.spark, shape).withColumn("v", made(*[F.col(f"i{k}") for k in range(len(shape))])), shape, made=made)
 
     def rand(self, *shape: int) -> SparkArray:
         return self._expression(shape, lambda i, d: unit(self.seed, d, i))

@@ -176,10 +176,11 @@ def cov(m, y=None, rowvar=True, bias=False, ddof=None):
         x = concatenate([x, y if y.ndim == 2 else y.reshape(1, -1)], 0)
     n = x.shape[1]
     ddof = (0 if bias else 1) if ddof is None else ddof
-    left = x.df.select(F.col("i1").alias("o"), F.col("i0").alias("i0"), F.col("v").cast("double").alias("a"))
-    right = x.df.select(F.col("i1").alias("o"), F.col("i0").alias("i1"), F.col("v").cast("double").alias("b"))
-    df = left.join(right, "o").groupBy("i0", "i1").agg((F.covar_pop("a", "b") * n / max(n - ddof, 1)).alias("v"))
-    return SparkArray(df, (x.shape[0], x.shape[0]))
+    from sparkarray.operators.linalg import gram
+
+    # Centred first: sums of squares of large values would lose the small differences.
+    centred = x.astype("double").binary(mean(x, 1, True), lambda v, m: v - m)
+    return gram(centred.transpose()).map(lambda v: v / max(n - ddof, 1))
 
 
 def contains(a, value):

@@ -60,10 +60,57 @@ def _one(kind):
 fft, ifft, rfft, irfft, hfft, ihfft = (_one(k) for k in ("fft", "ifft", "rfft", "irfft", "hfft", "ihfft"))
 
 
+#: Cells of a plane or block that one kernel transforms along several axes.
+PLANE_CELLS = 4_000_000
+
+
+def _block_transform(a: SparkArray, kind: str, s: list, axes: list[int], norm: str | None) -> SparkArray:
+    """Several axes at once: the cells of each block are gathered by one aggregate on the other axes."""
+    axes = [norm_axis(k, a.ndim) for k in axes]
+    rest = [f"i{m}" for m in range(a.ndim) if m not in axes]
+    sizes = [a.shape[k] for k in axes]
+    wide = math.prod(sizes)
+    complex_in, real_out = a.is_complex, kind == "irfftn"
+    want = [n if n is not None else z for n, z in zip(s, sizes)]
+    if kind == "irfftn" and s[-1] is None:
+        want[-1] = 2 * (sizes[-1] - 1)
+    lengths = [*want[:-1], want[-1] // 2 + 1] if kind == "rfftn" else want
+    out_cells = math.prod(lengths)
+    at = F.lit(0).cast("int")
+    for k, z in zip(axes, sizes):
+        at = at * z + F.col(f"i{k}").cast("int")
+    parts = [F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im")] if complex_in else [F.col("v").cast("double").alias("re")]
+    cells = a.df.select(*rest, F.struct(at.alias("k"), *parts).alias("x"))
+    lines = (cells.groupBy(*rest) if rest else cells.groupBy(F.lit(0).alias("_one"))).agg(F.collect_list("x").alias("x")).select(*rest, "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, 2_000_000 // max(wide, out_cells, 1))
+        for b in (b.slice(q, most) for b in batches for q in range(0, b.num_rows, most)):
+            cells = b.column(len(rest)).flatten()
+            x = np.zeros((b.num_rows, wide), complex if complex_in else float)
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(len(rest)).offsets.to_numpy()))
+            x[row, cells.field(0).to_numpy()] = cells.field(1).to_numpy() + (1j * cells.field(2).to_numpy() if complex_in else 0)
+            x = x.reshape(-1, *sizes)
+            y = getattr(np.fft, kind)(x.real if kind == "rfftn" else x, want, axes=range(1, 1 + len(axes)), norm=norm)
+            ends = pa.array(np.arange(b.num_rows + 1) * out_cells, pa.int32())
+            out = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).reshape(-1), pa.float64())) for p in ((y,) if real_out else (y.real, y.imag))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *out], [*rest, "re", "im"][: len(rest) + len(out)])
+
+    got = lines.mapInArrow(run, ", ".join([*(f"{r} long" for r in rest), "re array<double>", *([] if real_out else ["im array<double>"])]))
+    got = got.select(*rest, F.posexplode("re" if real_out else F.arrays_zip("re", "im")).alias("p", "v"))
+    cols, step = {}, 1
+    for k, z in list(zip(axes, lengths))[::-1]:
+        cols[k] = (F.expr(f"p div {step}") % z).cast("long").alias(f"i{k}")
+        step *= z
+    return SparkArray(got.select(*rest, *cols.values(), "v"), [lengths[axes.index(j)] if j in axes else z for j, z in enumerate(a.shape)])
+
+
 def _many(first, others, last_first=True):
     def run(a, s=None, axes=None, norm=None):
         axes = list(range(a.ndim)) if axes is None else list(axes)
         s = [None] * len(axes) if s is None else list(s)
+        if len(axes) > 1 and len({norm_axis(k, a.ndim) for k in axes}) == len(axes) and math.prod(max(a.shape[k], n or 0) for k, n in zip(axes, s)) <= PLANE_CELLS:
+            return _block_transform(a, first + "n", s, axes, norm)
         pairs = list(zip(axes, s))[::-1]
         if not last_first:
             pairs = pairs[1:][::-1] + pairs[:1]

@@ -4,6 +4,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ def load(spark: SparkSession, path: str) -> SparkArray:
         at += r["shape"][0] if r["shape"] else 1
     shape = (at, *parts[0]["shape"][1:]) if len(parts) > 1 or parts[0]["shape"] else ()
     kind = {"b": "boolean", "i": "long", "u": "long"}.get(parts[0]["kind"], "double")
+    complex_ = parts[0]["kind"] == "c"
     n = len(shape)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,9 +41,11 @@ def load(spark: SparkSession, path: str) -> SparkArray:
                 a = np.load(io.BytesIO(c), allow_pickle=False)
                 grid = np.indices(a.shape).reshape(n, -1) if n else np.zeros((0, 1), "i8")
                 out = {f"i{k}": g + (before[p] if k == 0 else 0) for k, g in enumerate(grid)}
-                yield pd.DataFrame(out | {"v": a.reshape(-1)})
+                flat = a.reshape(-1)
+                yield pd.DataFrame(out | ({"re": flat.real.astype("f8"), "im": flat.imag.astype("f8")} if complex_ else {"v": flat}))
 
-    return SparkArray(files.select("path", "content").mapInPandas(cells, ", ".join([*(f"i{k} long" for k in range(n)), f"v {kind}"])), shape)
+    df = files.select("path", "content").mapInPandas(cells, ", ".join([*(f"i{k} long" for k in range(n)), "re double, im double" if complex_ else f"v {kind}"]))
+    return SparkArray(df.withColumn("v", F.struct("re", "im")) if complex_ else df, shape)
 
 
 def from_table(df: DataFrame, value: str, order: Sequence[str]) -> SparkArray:
@@ -66,13 +70,45 @@ def open_saved(spark: SparkSession, path: str) -> SparkArray:
     return SparkArray(df, df.schema["v"].metadata["shape"])
 
 
-def tobytes(a: SparkArray) -> bytes:
-    return a.to_numpy().tobytes()
+def save_npy(a: SparkArray, folder: str) -> None:
+    """A folder of .npy files, slices along the first axis, each written by the task that has it: what ``load`` reads."""
+    import io
 
+    rows = max(1, SLICE_CELLS // max(a.size // max(a.shape[0], 1), 1))
+    shape, count = a.shape[1:], a.shape[0]
+    cells = a.df.groupBy(F.expr(f"i0 div {rows}").alias("slice")).agg(F.collect_list(F.struct((F.col("i0") % rows).alias("i0"), *a.axes[1:], "v")).alias("x"))
 
-def tofile(a: SparkArray, path: str, sep: str = "") -> None:
-    a.to_numpy().tofile(path, sep=sep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                v = x.values.field(len(shape) + 1).to_numpy(zero_copy_only=False)
+                out = np.zeros((min(rows, count - k * rows), *shape), v.dtype)
+                out[tuple(x.values.field(n).to_numpy() for n in range(len(shape) + 1))] = v
+                data = io.BytesIO()
+                np.save(data, out, allow_pickle=False)
+                files.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["slice", "content"])
 
+    made = cells.mapInArrow(run, "slice long, content binary")
+    fs = _writer(a.spark, folder)
+    for r in made.toLocalIterator():  # one slice at a time passes the driver
+        fs(f"part-{r['slice']:08d}.npy", bytes(r["content"]))
 
-def dump(a: SparkArray, path: str) -> None:
-    np.save(path, a.to_numpy(), allow_pickle=False)
+
+#: Cells of a slice that is one file.
+SLICE_CELLS = 4_000_000
+
+
+def _writer(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+
+    def write(name: str, data: bytes) -> None:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, name), True)
+        out.write(bytearray(data))
+        out.close()
+
+    return write
