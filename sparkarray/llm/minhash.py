@@ -34,8 +34,8 @@ K, ROWS, DARTS = 96, 4, 384
 BANDS = K // ROWS
 #: Signatures this far below the similarity (four standard errors) are not worth an exact look.
 SLACK, BLOCK, AT_ONCE = 0.165, 512, 400
-#: Pairs of leaders and members that a task compares at once.
-GROUP = 2000
+#: Pairs of leaders and members that are compared at once, and such groups of a task.
+GROUP, GROUPS = 2000, 8
 BROADCAST_ROWS = 200_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -249,7 +249,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members_ = salted.join(sets.select(F.col("cls").alias("b"), "units"), "b").select(group(F.col("salt")), "a", "b", "units")
     leaders = pairs.select("a").distinct().join(many, "a", "left").join(sets.select(F.col("cls").alias("a"), "units"), "a")
     leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select(group(F.col("salt")).alias("h"), F.col("a").alias("leader"), F.col("units").alias("set")).dropDuplicates(["h", "leader"])
-    stars, _ = written(members_.groupBy("g").cogroup(leaders.groupBy("h")).applyInArrow(_stars(similarity), "a long, b long"), "minhash-links")
+    parts = max(1, n_groups // GROUPS)
+    stars, _ = written(members_.repartition(parts, "g").groupBy("g").cogroup(leaders.repartition(parts, "h").groupBy("h")).applyInArrow(_stars(similarity), "a long, b long"), "minhash-links")
     # Members by the least that they are linked to, followed once: enough to tell most buckets whole.
     low = stars.groupBy("b").agg(F.min("a").alias("a"))
     low = low.join(low.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.col("b").alias("cls"), F.coalesce("up", "a").alias("root"))

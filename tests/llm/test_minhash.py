@@ -82,3 +82,22 @@ def test_signatures_agree_as_often_as_texts_are_similar():
         s = minhash.signatures(doc, unit, 2, k=4096, darts=32768)
         agree = ((s[0] == s[1]) & (s[0] > 0)).sum() / ((s[0] > 0) | (s[1] > 0)).sum()
         assert abs(agree - jaccard(shingle_counts(a), shingle_counts(b))) < 0.04
+
+
+def test_recall_by_similarity(spark):
+    """Pairs in bands of similarity: all that reach the threshold are found, none below it."""
+    rng = np.random.default_rng(17)
+    texts, bands = [], []
+    for k in range(150):
+        a = [f"p{k}-{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
+        b = a.copy()
+        for at in rng.choice(len(a), int(rng.integers(1, max(2, len(a) // 25))), replace=False):
+            b[at] = f"x{at}"
+        texts += [" ".join(a), " ".join(b)]
+        bands.append(jaccard(shingle_counts(texts[-2]), shingle_counts(texts[-1])))
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(150)]
+    for lo, hi in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        own = [f for f, s in zip(found, bands) if lo <= s < hi]
+        assert len(own) >= 10 and all(own), (lo, sum(own), len(own))
+    assert not any(f for f, s in zip(found, bands) if s < 0.8)
