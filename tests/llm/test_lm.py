@@ -93,3 +93,56 @@ def test_commonest_words(spark):
             assert len(got) == len(rows)
         elif got:
             assert got[-1][1] > want[len(got)][1] or len(got) == most
+
+
+def test_scores_are_those_of_the_model(monkeypatch):
+    """For fixed weights, token by token: class softmax over hashed features, then the word in its class."""
+    import math
+    import re
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    head, n = 30, len(words) + 1
+    counts = np.concatenate([[9], rng.integers(1, 50, len(words))]).astype("i8")
+    cls = np.concatenate([[0], rng.integers(1, lm.CLASSES - 1, head - 1)])
+    w, bias = rng.normal(size=(lm.CLASSES, sum(lm.ROWS))).astype("f4") * 0.3, rng.normal(size=lm.CLASSES).astype("f4")
+    inner = -rng.random((lm.KINDS, head)).astype("f4")
+    totals = {"base": 4000.0, "tail": 700.0}
+    texts = ["w1 W2  w59\tw40 zz\nw3 w1", "", None, "unknown Words w0 w0 w0 w31", "w5 " * 40, " \r\n"]
+    box = lambda x: SimpleNamespace(value=x)
+    run = lm._score(box(lm.Vocabulary(words, counts)), cls, box((w, bias, inner)), totals)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    ids = {x: k + 1 for k, x in enumerate(words)}
+    for text, r in zip(texts, got):
+        found = re.findall("[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        score, base, rare = 0.0, 0.0, {}
+        before = [0, 0]
+        for token in [*found, None]:
+            own = 0 if token is None else ids.get(token)
+            one, two = before
+            kind = one if one < lm.KINDS // 2 else lm.KINDS // 2 + one % (lm.KINDS // 2)
+            a, b = one * 0x9E3779B1 % 0xFFFFFFFB, two * 0x85EBCA6B % 0xFFFFFFFB
+            rows = [a % lm.ROWS[0], lm.ROWS[0] + b % lm.ROWS[1], lm.ROWS[0] + lm.ROWS[1] + (a * 31 + b) % 0xFFFFFFFB % lm.ROWS[2]]
+            z = bias.astype("f8") + sum(w[:, k].astype("f8") for k in rows)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            y = cls[own] if own is not None and own < head else lm.CLASSES - 1
+            score += math.log10(p[y])
+            if own is None:
+                rare[token] = rare.get(token, 0) + 1
+            else:
+                base += math.log10((counts[own] + 0.5) / totals["base"])
+                score += inner[kind, own] if own < head else math.log10((counts[own] if counts[own] > 1 else 0.5) / totals["tail"])
+            at = own
+            if own is None:
+                last = token.encode()[-2:]
+                at = lm.LOOKUP + 1 + (last[-1] * 31 + last[0]) % lm.SUFFIXES
+            before = [at, one]
+        assert abs(r["score"] - score) < 1e-3 and abs(r["base"] - base) < 1e-9 and r["n_tokens"] == len(found) + 1
+        assert dict(zip(r["words"], r["counts"])) == rare
+    assert n == 61
