@@ -18,8 +18,10 @@ from sparkarray.session import cut
 
 #: A side of a broadcasting join is hinted small up to so many cells; beyond it Spark decides by its own sizes.
 BROADCAST_CELLS = 200_000
-#: Uses of its origin's cells, at most twofold a step, up to which an elementwise expression is kept as one.
-MOST_WEIGHT = 256
+#: Steps of a root; further ones begin a new one. Grids that are remembered.
+MOST_STEPS, MOST_GRIDS = 48, 16
+#: Steps up to which an expression of coordinates can be written out anew.
+MOST_MADE = 64
 #: Bytes that the driver takes as one NumPy array.
 DRIVER_BYTES = 4_000_000_000
 
@@ -50,29 +52,74 @@ def norm_axis(axis: int, ndim: int) -> int:
     return axis % ndim
 
 
+class Root:
+    """Rows that elementwise results share: each step is one more column, so operands with one root need no join.
+
+    What an array does not use is pruned from its plan; steps are columns by name, so nothing is computed twice or nested.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.steps = rows, 0
+
+    def add(self, value: Column) -> str:
+        self.steps += 1
+        name = f"_e{self.steps}"
+        self.rows = self.rows.withColumn(name, value)
+        return name
+
+
+#: The grids of generated arrays, by session and shape; of late the last few.
+_grids: dict[tuple, Root] = {}
+
+
 class SparkArray:
     """A dense array. Index columns are long and count from 0 in each axis.
 
-    Elementwise steps keep what they come from, so that operands with one origin need no join: ``made`` gives a cell as an
-    expression of its coordinates (ranges, constants, random draws), ``origin`` is a DataFrame and an expression over its rows.
+    Elementwise steps keep what they come from: ``root`` is shared rows and a column's name. ``made`` gives a cell as an
+    expression of its coordinates (ranges, constants, random draws), which any other array's rows can take on.
     """
 
-    def __init__(self, df: DataFrame, shape: Sequence[int], made: Callable[..., Column] | None = None, origin: tuple[DataFrame, Column] | None = None, weight: int = 1):
+    def __init__(self, df: DataFrame, shape: Sequence[int], made: Callable[..., Column] | None = None, root: tuple[Root, str] | None = None, size: int = 1):
         self.shape = tuple(int(s) for s in shape)
         self.df = df.select(*axes(len(self.shape)), "v")
-        # An expression that may have grown large becomes an origin of its own.
-        self._made, self._origin, self._weight = (made, origin, weight) if weight <= MOST_WEIGHT else (None, None, 1)
+        self._made, self._root, self._size = made if size <= MOST_MADE else None, root, size
 
-    @property
-    def origin(self) -> tuple[DataFrame, Column]:
-        if self._origin is None:
-            self._origin = self.df, F.col("v")
-        return self._origin
+    @classmethod
+    def generated(cls, spark: SparkSession, shape: Sequence[int], made: Callable[..., Column], size: int = 1) -> SparkArray:
+        """All cells of a shape by an expression of their coordinates."""
+        shape = tuple(int(s) for s in shape)
+        key = (spark.sparkContext.applicationId, id(spark), shape)
+        root = _grids.pop(key, None)
+        if root is None or root.steps >= MOST_STEPS:
+            f = spark.range(math.prod(shape))
+            root = Root(f.select(*[(F.expr(f"id div {max(st, 1)}") % max(s, 1)).alias(f"i{k}") for k, (s, st) in enumerate(zip(shape, strides(shape)))]))
+        _grids[key] = root
+        while len(_grids) > MOST_GRIDS:
+            del _grids[next(iter(_grids))]
+        return cls._in(root, root.add(made(*[F.col(a) for a in axes(len(shape))])), shape, made, size)
 
-    def _of_origin(self, value: Column, weight: int) -> SparkArray:
-        """The same cells with another expression over the rows they come from."""
-        rows, _ = self.origin
-        return SparkArray(rows.withColumn("v", value), self.shape, origin=(rows, value), weight=weight)
+    @classmethod
+    def _in(cls, root: Root, name: str, shape: Sequence[int], made: Callable[..., Column] | None = None, size: int = 1) -> SparkArray:
+        return cls(root.rows.select(*axes(len(shape)), F.col(name).alias("v")), shape, made, (root, name), size)
+
+    @property
+    def root(self) -> tuple[Root, str]:
+        if self._root is None or self._root[0].steps >= MOST_STEPS:
+            self._root = Root(self.df), "v"
+        return self._root
+
+    def _together(self, other: SparkArray) -> tuple[Root, str, str] | None:
+        """The root that both have, or None."""
+        if self is other:
+            root, name = self.root
+            return root, name, name
+        if self.shape != other.shape or self._root is None or other._root is None or self._root[0] is not other._root[0]:
+            return None
+        root, one, two = self._root[0], self._root[1], other._root[1]
+        if root.steps >= MOST_STEPS:  # both go on in fresh rows
+            root = Root(root.rows.select(*self.axes, F.col(one).alias("_a"), F.col(two).alias("_b")))
+            self._root, other._root, one, two = (root, "_a"), (root, "_b"), "_a", "_b"
+        return root, one, two
 
     # --- handle ---
     @property
@@ -207,10 +254,9 @@ class SparkArray:
 
     # --- elementwise ---
     def map(self, f) -> SparkArray:
-        if self._made is not None:
-            made = self._made
-            return SparkArray(self.df.withColumn("v", f(F.col("v"))), self.shape, made=lambda *i: f(made(*i)), weight=2 * self._weight)
-        return self._of_origin(f(self.origin[1]), 2 * self._weight)
+        root, name = self.root
+        made = self._made
+        return SparkArray._in(root, root.add(f(F.col(name))), self.shape, (lambda *i: f(made(*i))) if made else None, self._size + 1)
 
     def astype(self, kind: str) -> SparkArray:
         """To a Spark type's name; ``complex`` is (re, im)."""
@@ -236,21 +282,23 @@ class SparkArray:
         if not isinstance(other, SparkArray):
             return self.map(lambda v: f(v, other))
         shape = np.broadcast_shapes(self.shape, other.shape)
-        weight = 2 * (self._weight + other._weight)
-        if self.shape == other.shape and (self is other or self.origin[0] is other.origin[0]):
-            return self._of_origin(f(self.origin[1], other.origin[1]), weight)
-        # A side that is an expression of its coordinates needs no rows of its own.
-        at = lambda x: [F.col(f"i{k + len(shape) - x.ndim}") if s != 1 else F.lit(0).cast("long") for k, s in enumerate(x.shape)]
-        if self._made is not None and other._made is not None and shape in (self.shape, other.shape):
-            one, two = self._made, other._made
-            whole = self if shape == self.shape else other
-            pick = lambda x, i: [i[k + len(shape) - x.ndim] if s != 1 else F.lit(0).cast("long") for k, s in enumerate(x.shape)]
-            made = lambda *i: f(one(*pick(self, i)), two(*pick(other, i)))
-            return SparkArray(whole.df.withColumn("v", made(*[F.col(c) for c in whole.axes])), shape, made=made, weight=weight)
-        if other._made is not None and shape == self.shape:
-            return self._of_origin(f(self.origin[1], other._made(*at(other))), weight)
-        if self._made is not None and shape == other.shape:
-            return other._of_origin(f(self._made(*at(self)), other.origin[1]), weight)
+        common = self._together(other)
+        # Sides that are expressions of their coordinates need no rows of their own.
+        pick = lambda x, i: [i[k + len(shape) - x.ndim] if s != 1 else F.lit(0).cast("long") for k, s in enumerate(x.shape)]
+        one, two, size = self._made, other._made, self._size + other._size
+        made = (lambda *i: f(one(*pick(self, i)), two(*pick(other, i)))) if one and two else None
+        if common is not None:
+            root, a, b = common
+            return SparkArray._in(root, root.add(f(F.col(a), F.col(b))), shape, made, size)
+        if made:
+            return SparkArray.generated(self.spark, shape, made, size)
+        i = [F.col(c) for c in axes(len(shape))]
+        if two and shape == self.shape:
+            root, name = self.root
+            return SparkArray._in(root, root.add(f(F.col(name), two(*pick(other, i)))), shape)
+        if one and shape == other.shape:
+            root, name = other.root
+            return SparkArray._in(root, root.add(f(one(*pick(self, i)), F.col(name))), shape)
         n = len(shape)
         sides = []
         for x, name in ((self, "a"), (other, "b")):
@@ -348,7 +396,8 @@ class SparkArray:
 
     def _become(self, other: SparkArray) -> None:
         """This handle stands for another array of its shape from now on."""
-        self.df, self._made, self._origin, self._weight = other.df, other._made, other._origin, other._weight
+        self.df, self._made, self._root = other.df, other._made, other._root
+        self._size = other._size
 
     def __iter__(self):
         """Slices along the first axis, each a plan of its own; for whole arrays prefer operators."""

@@ -20,7 +20,7 @@ def grid(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
 
 def full(spark, shape, value) -> SparkArray:
     shape = (shape,) if isinstance(shape, int) else tuple(shape)
-    return SparkArray(grid(spark, shape).withColumn("v", F.lit(value)), shape, made=lambda *i: F.lit(value))
+    return SparkArray.generated(spark, shape, lambda *i: F.lit(value))
 
 
 def zeros(spark, shape) -> SparkArray:
@@ -57,8 +57,7 @@ def arange(spark, start, stop=None, step=1) -> SparkArray:
     if stop is None:
         start, stop = 0, start
     n = max(0, math.ceil((stop - start) / step))
-    v = lambda i: F.lit(start) + i * step
-    return SparkArray(spark.range(n).select(F.col("id").alias("i0"), v(F.col("id")).alias("v")), (n,), made=v)
+    return SparkArray.generated(spark, (n,), lambda i: F.lit(start) + i * step)
 
 
 def linspace(spark, start, stop, num=50, endpoint=True, retstep=False):
@@ -69,7 +68,7 @@ def linspace(spark, start, stop, num=50, endpoint=True, retstep=False):
         even = F.lit(float(start)) + i * (step if gaps > 0 else 0.0)
         return F.when(i == num - 1, F.lit(float(stop))).otherwise(even) if endpoint and num > 1 else even
 
-    out = SparkArray(spark.range(num).select(F.col("id").alias("i0"), v(F.col("id")).alias("v")), (num,), made=v)
+    out = SparkArray.generated(spark, (num,), v)
     return (out, step) if retstep else out
 
 
@@ -79,8 +78,7 @@ def logspace(spark, start, stop, num=50, endpoint=True, base=10.0) -> SparkArray
 
 def eye(spark, n, m=None, k=0) -> SparkArray:
     m = n if m is None else m
-    v = lambda i, j: (j - i == k).cast("double")
-    return SparkArray(grid(spark, (n, m)).withColumn("v", v(F.col("i0"), F.col("i1"))), (n, m), made=v)
+    return SparkArray.generated(spark, (n, m), lambda i, j: (j - i == k).cast("double"))
 
 
 def identity(spark, n) -> SparkArray:
@@ -89,8 +87,7 @@ def identity(spark, n) -> SparkArray:
 
 def tri(spark, n, m=None, k=0) -> SparkArray:
     m = n if m is None else m
-    v = lambda i, j: (j <= i + k).cast("double")
-    return SparkArray(grid(spark, (n, m)).withColumn("v", v(F.col("i0"), F.col("i1"))), (n, m), made=v)
+    return SparkArray.generated(spark, (n, m), lambda i, j: (j <= i + k).cast("double"))
 
 
 def _triangle(a: SparkArray, keep: Column) -> SparkArray:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sparkarray.array import SparkArray, strides
-from sparkarray.operators.creation import grid
 
 BLOCK = 65_536
 #: Distribution: numpy's name for it and whether its values are whole numbers.
@@ -68,7 +67,7 @@ class Generator:
         shape, draw = self._shape(size), self._next()
         steps = strides(shape)
         made = lambda *i: f(sum((x * s for x, s in zip(i, steps)), F.lit(0).cast("long")), draw)
-        return SparkArray(grid(self.spark, shape).withColumn("v", made(*[F.col(f"i{k}") for k in range(len(shape))])), shape, made=made)
+        return SparkArray.generated(self.spark, shape, made)
 
     def rand(self, *shape: int) -> SparkArray:
         return self._expression(shape, lambda i, d: unit(self.seed, d, i))
