@@ -2,6 +2,12 @@
 
 Quality rules, near-duplicates (one document of each group stays), personal data, mixing to target weights, packing. The
 last stage returns the pieces of the packed sequences; all others return the columns of documents.
+
+Edge cases follow from the stages: a null or empty text fails the base rules of the first stage and goes; equal rows are
+copies, of which one stays; a null doc_id stays null up to the pieces; null language or source counts as empty; very long
+texts are treated whole and cut over as many sequences as they need; further columns of documents, whatever their names,
+pass through all stages but the last; an empty table gives no pieces. A stage's working tables go when the next stage of the
+same thread begins, so what a stage returns has to be written (as ``run`` does) before the next one is called.
 """
 
 from __future__ import annotations
