@@ -2,8 +2,8 @@
 
 Each round links every node to the least of its neighbours, first among the larger ones, then among the smaller ones; the
 rounds (of the order of the logarithm of the nodes) end when all links are (member, root). Links stay spread over the cluster and each
-round is a written table, so a lost executor costs no earlier round. The least neighbour is a partial aggregate and the
-join back to a hub's links is a plain join whose large partitions Spark may split.
+round is a written table, so a lost executor costs no earlier round. The least neighbour is a partial aggregate; it goes back
+to the links of a hub by broadcast, to all others by a shuffle that hubs take no part in.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkarray.llm.common import drop_table, written
+from sparkarray.llm.common import drop_table, joined, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def components(links: DataFrame) -> DataFrame:
     while not _is_forest_of_stars(edges):
         # Large star: the larger neighbours of a node go to its least neighbour (itself included).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined(both, least, ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large, large_path = written(large, "links")
         # Small star: a node and its smaller neighbours go to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, least, ["a"], "n")
+        least = least.drop("n")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new, new_path = written(small, "links")
         drop_table(spark, large_path)
