@@ -38,6 +38,14 @@ def far(x, p):
     return (np.linalg.solve(p[1], (x - p[0]).T) ** 2).sum(axis=0)
 
 
+def nearer(x, p):
+    """From the share of the documents that is nearest by bins of the distance."""
+    q = np.floor(np.minimum(far(x, p), 1e9) * 64).astype(int)
+    bins = np.array([v if v < 16 else v.bit_length() * 16 + (v >> (v.bit_length() - 5) & 15) for v in q.tolist()])
+    cut = next(b for b in sorted(set(bins.tolist())) if (bins <= b).sum() >= len(x) * quality.SHARE)
+    return fitted(x[bins <= cut])
+
+
 def good(rows):
     """rows: doc_id, text, lang, source. Whether the quality stage keeps each."""
     failed = np.array([base(r[1])[5] for r in rows])
@@ -51,20 +59,22 @@ def good(rows):
     best = {}
     for g, own in member.items():
         own = np.array(own)
+        if len(own) < quality.LEAST:
+            continue
         fits = []
-        for start in range(quality.STARTS):
-            first = own if start == 0 else own[seed[own] % (quality.STARTS - 1) == start - 1]
-            if not len(first):
-                continue
-            p = fitted(x[first])
-            for _ in range(quality.STEPS):
-                q = np.floor(np.minimum(far(x[own], p), 1e9) * 64).astype(int)
-                bins = np.array([v if v < 16 else v.bit_length() * 16 + (v >> (v.bit_length() - 5) & 15) for v in q.tolist()])
-                cut = next(b for b in sorted(set(bins.tolist())) if (bins <= b).sum() >= len(own) * quality.SHARE)
-                p = fitted(x[own[bins <= cut]])
-            fits.append((p[2], start, p))
-        if len(own) >= quality.LEAST:
-            best[g] = min(fits, key=lambda f: f[:2])[2]
+        for start in range(quality.STARTS + 1):
+            left = [(s % quality.PRIME * quality.TIMES[start] + 7919 * start) % quality.PRIME for s in seed[own].tolist()]
+            first = own if start == 0 else own[[v * len(own) < quality.FIRST * quality.PRIME for v in left]]
+            if len(first):
+                p = fitted(x[first])
+                for _ in range(quality.EARLY):
+                    p = nearer(x[own], p)
+                fits.append((p[2], start, p))
+        fits = sorted(fits, key=lambda f: f[:2])[: quality.BEST]
+        for _ in range(quality.MOST):
+            fits = [min(((q := nearer(x[own], p))[2], start, q), (det, start, p), key=lambda f: f[0]) for det, start, p in fits]
+        p = min(fits, key=lambda f: f[:2])[2]
+        best[g] = fitted(x[own[far(x[own], p) <= quality.NEAR]])
     out = []
     for k, (_, _, lang, source) in enumerate(rows):
         p = best.get((lang or "", source or ""), best.get((lang or "", None)))
