@@ -35,7 +35,7 @@ BANDS = K // ROWS
 #: Signatures this far below the similarity (four standard errors) are not worth an exact look.
 SLACK, BLOCK, AT_ONCE = 0.165, 512, 400
 #: Pairs of leaders and members that are compared at once, and such groups of a task.
-GROUP, GROUPS = 2000, 8
+GROUP, GROUPS = 2000, 2
 BROADCAST_ROWS = 200_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
