@@ -1,13 +1,16 @@
 """Whole numbers, lineage without joins, keywords of ufuncs, advanced indexing, windows over ranges, blocks, tasks, habits."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_arrays import same
 
 from sparkarray import namespace as np_
 from sparkarray.array import SparkArray
 from sparkarray.operators import creation, indexing, linalg, ordering, products, scans, signal, tasks
-from sparkarray.plans import doctor
+from sparkarray.plans import catalogue, doctor
 from sparkarray.plans.lint import plan_text
 
 RNG = np.random.default_rng(21)
@@ -191,6 +194,29 @@ def test_contractions_by_tiles(A, monkeypatch, kind):
     same(products.einsum("aij,ajk->ki", A(x), A(y)), np.einsum("aij,ajk->ki", x, y))
 
 
+def test_tiled_products_are_dealt_over_tasks(A, monkeypatch):
+    """One block of the summed mode is not one task."""
+    a = RNG.normal(size=(1100, 6))
+    got = linalg.tiled_matmul(A(a), A(a.T), 64)
+    shares = [r["count"] for r in got.df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 1100**2 and max(shares) < 0.9 * 1100**2
+    same(got, a @ a.T)
+    for name, value in (("TILE_WORK", 1), ("SIDE", 2), ("TILE", 4), ("LEAST_PATCH", 1), ("PANEL", 12)):
+        monkeypatch.setattr(products, name, value)
+    for x, y in ((RNG.normal(size=(2, 7, 5)), RNG.normal(size=(2, 5, 9))), (RNG.integers(-9, 9, (7, 5)), RNG.integers(-9, 9, (5, 1))), (RNG.normal(size=(1, 5)) * 1j, RNG.normal(size=(5, 9)))):
+        for most in (1, 12, 100):
+            monkeypatch.setattr(products, "PATCH", most)
+            same(products.matmul(A(x), A(y)), x @ y)
+
+
+def test_rounding_as_in_sql(spark):
+    x = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.0, 2.0**53, 1e306, -1e306, 3e301, float("inf"), float("nan"), 0.0078125, -0.0234375, 1.0000005, 2.675e-6, *RNG.normal(size=3000), *(RNG.integers(-(10**6), 10**6, 3000) / 128)]
+    for digits in (0, 6):
+        got = spark.createDataFrame(pa.table({"x": x})).select("x", catalogue.rounded(F.col("x"), digits).alias("r")).toArrow()
+        want = duckdb.sql(f"SELECT round(x, {digits}) AS r FROM got").to_arrow_table()
+        assert [repr(v) for v in got["r"].to_pylist()] == [repr(v) for v in want["r"].to_pylist()]
+
+
 def test_factorizations_by_blocks(A, monkeypatch):
     m = RNG.normal(size=(11, 7))
     g = m.T @ m + np.eye(7)
